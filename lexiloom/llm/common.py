@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +44,13 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below df by the optimizer's statistics; no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each has about `limit` bytes of `text`, one row at least."""
     for batch in batches:
-        size = np.frombuffer(pa.compute.binary_length(batch.column("text").cast(pa.binary())).cast(pa.int64()).fill_null(0).buffers()[1], np.int64)[: batch.num_rows] if batch.num_rows else np.zeros(0, np.int64)
+        size = np.frombuffer(pc.binary_length(batch.column("text").cast(pa.binary())).cast(pa.int64()).fill_null(0).buffers()[1], np.int64)[: batch.num_rows] if batch.num_rows else np.zeros(0, np.int64)
         ends, start = np.cumsum(size), 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

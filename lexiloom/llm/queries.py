@@ -22,6 +22,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(C.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .word_repeats import word_repeats
+
+    return word_repeats(C.table(spark, sf_dir, "documents"), window=50, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -40,6 +46,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(C.table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_repeats import suffix_repeats
+
+    return suffix_repeats(C.table(spark, sf_dir, "documents"), window=50, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -47,7 +59,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_token_counts, op6_packing, op7_pii, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op5_token_counts, op6_packing, op7_pii, op8_suffix_dedup, op9_exact_dedup)}
 
 
 OP9_SQL = r"""
