@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -28,6 +29,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_repeats(C.table(spark, sf_dir, "documents"), window=50, digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, quality_scores
+
+    scores = quality_scores(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"), threshold=0.3)
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_k import top_products
+
+    return top_products(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -59,7 +73,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op5_token_counts, op6_packing, op7_pii, op8_suffix_dedup, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_quality, op4_top_k, op5_token_counts, op6_packing, op7_pii, op8_suffix_dedup, op9_exact_dedup)}
 
 
 OP9_SQL = r"""
@@ -72,5 +86,17 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS t
 """
 
 
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op4_top_k": OP4_SQL, "op9_exact_dedup": OP9_SQL}
