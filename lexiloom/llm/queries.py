@@ -72,8 +72,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(C.table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import linked
+
+    return linked(C.table(spark, sf_dir, "documents"), percent=75, n=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_quality, op4_top_k, op5_token_counts, op6_packing, op7_pii, op8_suffix_dedup, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_quality, op4_top_k, op5_token_counts, op6_packing, op7_pii, op8_suffix_dedup, op9_exact_dedup, op10_jaccard_join)}
 
 
 OP9_SQL = r"""
