@@ -121,23 +121,47 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def _scorer(weights):
+    """Scores of a text column."""
+    w = weights.value
+
+    def score(column: pa.Array) -> np.ndarray:
+        place, share, starts = features(*C.utf8(column))
+        total = np.r_[0.0, np.cumsum(w[place].astype(np.float64) * share)]
+        z = np.clip(total[starts[1:]] - total[starts[:-1]] + w[-1], -30, 30)
+        return np.round(1 / (1 + np.exp(-z)), 12)
+
+    return score
+
+
+def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
+    """The weights, broadcast (1 MB, whatever the corpus); labels of held_out() rows are never read."""
+    labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
+    return docs.sparkSession.sparkContext.broadcast(train(sample(C.texts(docs), labels, ~held_out(F.col("doc_id")), train_rows)))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, score and predicted of every row; learns only from labels outside held_out()."""
-    docs = C.texts(docs)
-    labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
-    weights = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, ~held_out(F.col("doc_id")), train_rows)))
+    weights = fitted(docs, labels, train_rows)
 
     def one():
-        w = weights.value
+        score = _scorer(weights)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data, bounds = C.utf8(batch.column("text"))
-            place, share, starts = features(data, bounds)
-            total = np.r_[0.0, np.cumsum(w[place].astype(np.float64) * share)]
-            z = np.clip(total[starts[1:]] - total[starts[:-1]] + w[-1], -30, 30)
-            score = np.round(1 / (1 + np.exp(-z)), 12)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            s = score(batch.column("text"))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
         return each
 
-    return C.map_texts(docs, one, SCHEMA)
+    return C.map_texts(C.texts(docs), one, SCHEMA)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that score the threshold or more."""
+    weights = fitted(docs, labels, train_rows)
+
+    def one():
+        score = _scorer(weights)
+        return lambda batch: batch.filter(pa.array(score(batch.column("text")) >= threshold))
+
+    return C.map_texts(docs, one, docs.schema)
