@@ -105,3 +105,70 @@ def concatenated(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)), offsets - (offsets[0] if len(offsets) else 0)
+
+
+#: Packed documents of a chunk: ids and text hashes as 64-bit integers, sizes as 32-bit ones, texts by zstd.
+PACKED = "chunk int, ids binary, hashes binary, sizes binary, data binary"
+NO_ID = np.iinfo(np.int64).max
+
+
+def squeeze(data: bytes | np.ndarray) -> bytes:
+    """zstd with the size before it: what travels takes half the disk of the session's own codec."""
+    raw = data.tobytes() if isinstance(data, np.ndarray) else data
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True) if raw else b"")
+
+
+def unsqueeze(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True) if size else b""
+
+
+def dealt(docs: DataFrame, chunks: int) -> DataFrame:
+    """docs (doc_id, text) packed by chunk, a hash of the id; a chunk's rows come from many tasks."""
+    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.xxhash64("text").alias("hash"), "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in text_slices(batches, 16 << 20):
+            chunk = batch.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            data, bounds = utf8(batch.column("text"))
+            raw, sizes = np.frombuffer(data, np.uint8), np.diff(bounds)
+            ids, hashes = batch.column("doc_id").fill_null(NO_ID).to_numpy(), batch.column("hash").to_numpy()
+            sorted_ = chunk[order]
+            head = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+            rows = [order[a:b] for a, b in zip(head, np.r_[head[1:], len(order)], strict=True)]
+            parts = [raw[ragged(bounds[:-1][r], sizes[r])] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(sorted_[head], pa.int32()), *(pa.array(x, pa.binary()) for x in ([ids[r].tobytes() for r in rows], [hashes[r].tobytes() for r in rows], [sizes[r].astype(np.int32).tobytes() for r in rows], [squeeze(x) for x in parts]))], ["chunk", "ids", "hashes", "sizes", "data"])
+
+    return keyed.mapInArrow(pack, PACKED)
+
+
+def release() -> None:
+    """In a worker: freed Arrow memory goes back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+class Chunk:
+    """The documents of a chunk in the order of their ids, then of their text hashes."""
+
+    def __init__(self, packed: pa.Table) -> None:
+        get = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in packed.column(name).to_pylist())])
+        ids, hashes, sizes = get("ids", np.int64), get("hashes", np.int64), get("sizes", np.int32).astype(np.int64)
+        raw = np.frombuffer(b"".join(unsqueeze(x) for x in packed.column("data").to_pylist()), np.uint8)
+        order = np.lexsort((hashes, ids))
+        begins = np.cumsum(sizes) - sizes
+        self.ids, self.hashes = ids[order], hashes[order]
+        self.data = raw[ragged(begins[order], sizes[order])].tobytes()
+        self.bounds = np.r_[0, np.cumsum(sizes[order])]
+
+    def slices(self, limit: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+        """First document, bytes and bounds of runs of documents of about limit bytes."""
+        at = 0
+        while at < len(self.ids):
+            stop = max(at + 1, int(np.searchsorted(self.bounds, self.bounds[at] + limit, "right")) - 1)
+            yield at, self.data[self.bounds[at] : self.bounds[stop]], self.bounds[at : stop + 1] - self.bounds[at]
+            at = stop
+
+    def id_column(self) -> pa.Array:
+        return pa.array(self.ids, pa.int64(), mask=self.ids == NO_ID)

@@ -30,11 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .repeats import CHUNK_BYTES, LEAST, NO_ID, Units, cut_units, grams_of, mix
+from .repeats import BUCKET_BYTES, CHUNK_BYTES, LEAST, Units, cut_units, grams_of, mix
 
 FEW = 8  # groups of so many documents give all their pairs at once
 PIVOTS = 3  # further members that a large group's documents meet before all that is left
-BUCKET_BYTES = 2 << 20
 LOW32 = np.uint64(0xFFFFFFFF)
 UNITS = Units(words=True, k=1, m=1)
 SETS = "chunk int, doc_id long, text_hash long, n_shingles long, grams binary, counts binary"
@@ -72,28 +71,18 @@ def spot(gram: np.ndarray, buckets: int) -> np.ndarray:
     return ((((gram >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)) << np.uint64(32)) | (gram & LOW32)
 
 
-class Chunk:
-    """Documents of a chunk by id, and those that stand for their text."""
+class Chunk(C.Chunk):
+    """Documents of a chunk, and those that stand for their text."""
 
-    def __init__(self, table: pa.Table, stands: np.ndarray) -> None:
-        table = table.combine_chunks()
-        ids = table.column("doc_id").fill_null(NO_ID).to_numpy()
-        hashes = table.column("text_hash").to_numpy()
-        order = np.lexsort((hashes, ids))
-        self.ids, self.hashes = ids[order], hashes[order]
-        text = table.column("text").combine_chunks()
-        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-        self.data, self.bounds = C.utf8(text.take(pa.array(order)))
+    def __init__(self, packed: pa.Table, stands: np.ndarray) -> None:
+        super().__init__(packed)
         first = np.r_[True, self.ids[1:] != self.ids[:-1]]
-        self.node = first & (self.ids != NO_ID) & np.isin(self.ids, stands)
+        self.node = first & (self.ids != C.NO_ID) & np.isin(self.ids, stands)
 
     def sets(self, n: int):
-        at, count = 0, len(self.ids)
-        while at < count:
-            stop = max(at + 1, int(np.searchsorted(self.bounds, self.bounds[at] + (1 << 20), "right")) - 1)
-            doc, gram = document_sets(self.data[self.bounds[at] : self.bounds[stop]], self.bounds[at : stop + 1] - self.bounds[at], n)
+        for at, data, bounds in self.slices(1 << 20):
+            doc, gram = document_sets(data, bounds, n)
             yield doc + at, gram
-            at = stop
 
 
 def _ids(table: pa.Table, kind: int) -> np.ndarray:
@@ -142,10 +131,12 @@ def _keep(n: int, buckets: int, percent: int):
     """n_shingles of every row; the set of each node of which enough n-grams occur elsewhere, in the global order."""
 
     def run(key: tuple, docs: pa.Table, side: pa.Table) -> pa.Table:
-        sizes, sets, counts = np.zeros(docs.num_rows, np.int64), [None] * docs.num_rows, [None] * docs.num_rows
         if not docs.num_rows:
             return pa.table({"chunk": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64()), "text_hash": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()), "grams": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+        C.release()
         chunk = Chunk(docs, _ids(side, 0))
+        rows = len(chunk.ids)
+        sizes, sets, counts = np.zeros(rows, np.int64), [None] * rows, [None] * rows
         found = list(chunk.sets(n))
         spots = np.unique(np.concatenate([np.zeros(0, np.uint64), *(spot(g[chunk.node[d]], buckets) for d, g in found)]))
         side = side.filter(pc.equal(side.column("kind"), 1))
@@ -167,8 +158,7 @@ def _keep(n: int, buckets: int, percent: int):
                 g, c = gram[at][of[at] > 1], of[at][of[at] > 1]
                 rank = np.lexsort((g, c))
                 sets[doc[head[i]]], counts[doc[head[i]]] = g[rank].tobytes(), c[rank].tobytes()
-        ids = pa.array(chunk.ids, pa.int64(), mask=chunk.ids == NO_ID)
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(sizes), pa.int32()), "doc_id": ids, "text_hash": pa.array(chunk.hashes, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "grams": pa.array(sets, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(sizes), pa.int32()), "doc_id": chunk.id_column(), "text_hash": pa.array(chunk.hashes, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "grams": pa.array(sets, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
 
@@ -294,7 +284,7 @@ def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
     stands = groups.where("stands is not null").select(chunk_of("stands").alias("chunk"), F.col("stands").alias("doc_id"))
     stands = stands.groupBy("chunk").applyInArrow(lambda t: pa.table({"chunk": t.column("chunk").slice(0, 1), "kind": pa.array([0], pa.int32()), "bucket": pa.array([-1], pa.int32()), "data": pa.array([t.column("doc_id").to_numpy().tobytes()], pa.binary()), "counts": pa.array([b""], pa.binary())}), SIDE)
     stands = C.written(spark, stands, "jaccard-stands")
-    dealt = docs.withColumn("chunk", chunk_of("doc_id"))
+    dealt = C.dealt(docs.select("doc_id", "text"), chunks)
     asked = dealt.groupBy("chunk").cogroup(stands.groupBy("chunk")).applyInArrow(_ask(n, buckets), SIDE)
     counted = asked.groupBy("bucket").applyInArrow(_count, SIDE)
     sets = dealt.groupBy("chunk").cogroup(stands.unionByName(counted).groupBy("chunk")).applyInArrow(_keep(n, buckets, percent), SETS)

@@ -14,7 +14,7 @@ Documents are dealt into chunks by a hash of their id, buckets hold minimiser va
 
 A minimiser that a third of all documents hold reaches its bucket once from each chunk in step 1 and with
 the distinct strings of the chunks in step 3, so no task gathers a row for each document of a group. All
-that travels is keyed by chunk or bucket; every step but the written requests of step 3 is a pure function
+that travels is keyed by chunk or bucket; every step is a pure function
 of rows that are there again after an executor is lost.
 """
 
@@ -25,17 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 
 INDEX_BITS = np.uint64(28)
 SLICE_UNITS = 1 << 19
-CHUNK_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 2 << 20, 128
+CHUNK_BYTES, BUCKET_BYTES, LEAST = 2 << 20, 1 << 20, 128
 FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
-NO_ID = np.iinfo(np.int64).max
 
 REPLY = "chunk int, bucket int, bits binary"
 REQUEST = "chunk int, bucket int, ids binary, rows binary, starts binary, counts binary, grams binary, places binary, sizes binary, data binary"
@@ -143,7 +142,8 @@ def super_kmers(u: Units, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     place = place[window]
     head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]) if len(window) else none
     counts = np.diff(np.r_[head, len(window)])
-    return doc[head], window[head], counts, gram[place[head]], place[head]
+    # minimisers are small by choice: hashed again, they spread over the buckets
+    return doc[head], window[head], counts, mix(gram[place[head]]), place[head]
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -151,43 +151,20 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-class Chunk:
-    """The documents of a chunk in the order of their ids (and texts, for equal ids)."""
-
-    def __init__(self, table: pa.Table) -> None:
-        table = table.combine_chunks()
-        ids = table.column("doc_id").fill_null(NO_ID).combine_chunks().to_numpy()
-        text = table.column("text").combine_chunks()
-        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-        order = np.argsort(ids, kind="stable")
-        if len(ids) > 1 and (np.diff(ids[order]) == 0).any():
-            values = text.to_pylist()
-            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], values[i])), np.int64)
-        self.ids = ids[order]
-        self.data, self.bounds = C.utf8(text.take(pa.array(order)))
-
-    def slices(self) -> Iterator[tuple[int, bytes, np.ndarray]]:
-        """First document, bytes and bounds of runs of documents."""
-        n, at = len(self.ids), 0
-        while at < n:
-            stop = max(at + 1, int(np.searchsorted(self.bounds, self.bounds[at] + SLICE_UNITS, "right")) - 1)
-            yield at, self.data[self.bounds[at] : self.bounds[stop]], self.bounds[at : stop + 1] - self.bounds[at]
-            at = stop
-
-    def grams(self, u: Units) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct minimisers, and whether two documents of the chunk hold each."""
-        found, docs = [], []
-        for at, data, bounds in self.slices():
-            doc, _, _, gram, _ = super_kmers(u, cut_units(u, data, bounds))
-            found.append(gram & ~np.uint64(1))
-            docs.append(self.ids[doc + at])
-        gram, ids = np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate([np.zeros(0, np.int64), *docs])
-        if not len(gram):
-            return gram, np.zeros(0, bool)
-        order = np.argsort(gram, kind="stable")
-        gram, ids = gram[order], ids[order]
-        head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        return gram[head], np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
+def minimisers(chunk: C.Chunk, u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct minimisers of a chunk, and whether two of its documents hold each."""
+    found, docs = [], []
+    for at, data, bounds in chunk.slices(SLICE_UNITS):
+        doc, _, _, gram, _ = super_kmers(u, cut_units(u, data, bounds))
+        found.append(gram & ~np.uint64(1))
+        docs.append(chunk.ids[doc + at])
+    gram, ids = np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate([np.zeros(0, np.int64), *docs])
+    if not len(gram):
+        return gram, np.zeros(0, bool)
+    order = np.argsort(gram, kind="stable")
+    gram, ids = gram[order], ids[order]
+    head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    return gram[head], np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +175,8 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 def _ask(u: Units, buckets: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        gram, several = Chunk(table).grams(u)
+        C.release()
+        gram, several = minimisers(C.Chunk(table), u)
         gram = gram | several.astype(np.uint64)
         b, lo, hi = _by_bucket(gram, buckets)
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(b), pa.int32()), "bucket": pa.array(b, pa.int32()), "bits": pa.array([gram[x:y].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary())})
@@ -227,20 +205,21 @@ def _requests(u: Units, buckets: int) -> Callable:
         empty = pa.table({n: pa.array([], t) for n, t in zip([f.split()[0] for f in REQUEST.split(", ")], [pa.int32()] * 2 + [pa.binary()] * 8, strict=True)})
         if not docs.num_rows or not replies.num_rows:
             return empty
-        chunk = Chunk(docs)
+        chunk = C.Chunk(docs)
         order = np.argsort(replies.column("bucket").to_numpy())
         bits = replies.column("bits").to_pylist()
         packed = [bits[i] for i in order.tolist()]
         cuts, row, first, count, gram, place, sizes, data = [], [], [], [], [], [], [], []
         # one pass finds all runs, then the replies (aligned with the sorted distinct minimisers) choose
-        for at, raw, bounds in chunk.slices():
+        for at, raw, bounds in chunk.slices(SLICE_UNITS):
             cut = cut_units(u, raw, bounds)
-            cuts.append((at, raw, bounds, cut, super_kmers(u, cut)))
+            cuts.append((at, raw, cut, super_kmers(u, cut)))
+            cut.codes = None
         every = np.unique(np.concatenate([k[3] & ~np.uint64(1) for *_, k in cuts]))
         _, lo, hi = _by_bucket(every, buckets)
         many = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8))[: y - x] for p, x, y in zip(packed, lo, hi, strict=True)]).astype(bool)
         many = every[many]
-        for at, raw, bounds, cut, (doc, window, n, g, p) in cuts:
+        for at, raw, cut, (doc, window, n, g, p) in cuts:
             g = g & ~np.uint64(1)
             if not len(many):
                 continue
@@ -279,7 +258,7 @@ def _requests(u: Units, buckets: int) -> Callable:
         text = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.r_[begins, len(data)].astype(np.int64)), pa.py_buffer(data)])
         code = text.dictionary_encode().indices.to_numpy().astype(np.int64)
         own = chunk.ids[row]
-        least = np.full(code.max() + 1, NO_ID)
+        least = np.full(code.max() + 1, C.NO_ID)
         np.minimum.at(least, code, own)
         goes = own == least[code]
         stay = np.flatnonzero(~goes)
@@ -297,12 +276,12 @@ def _requests(u: Units, buckets: int) -> Callable:
             out["grams"].append(gram[at].tobytes() if whole else b"")
             out["places"].append(place[at].astype(np.uint8).tobytes() if whole else b"")
             out["sizes"].append(sizes[at].astype(np.int32).tobytes() if whole else b"")
-            out["data"].append(data[C.ragged(begins[at], sizes[at])].tobytes() if whole else b"")
+            out["data"].append(C.squeeze(data[C.ragged(begins[at], sizes[at])]) if whole else b"")
 
         for bucket, x, y in zip(b.tolist(), lo, hi, strict=True):
             add(bucket, order[x:y], True)
-        if len(stay):
-            add(-1, stay, False)
+        if len(stay):  # known without the bucket's answer, which passes them on
+            add(key[0].as_py() % buckets, stay, False)
         n = len(out["bucket"])
         return pa.table({"chunk": pa.array([key[0].as_py()] * n, pa.int32()), "bucket": pa.array(out.pop("bucket"), pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
@@ -328,16 +307,24 @@ Resolve = Callable[[Units, Strings], np.ndarray]
 
 def _answers(u: Units, resolve: Resolve) -> Callable:
     def run(table: pa.Table) -> pa.Table:
+        C.release()
+        known = table.filter(pc.equal(pc.binary_length(table.column("ids")), 0))
+        table = table.filter(pc.greater(pc.binary_length(table.column("ids")), 0))
+        passed = pa.table({c: known.column(c) for c in ("chunk", "bucket", "rows", "starts", "counts")} | {"masks": pa.nulls(known.num_rows, pa.binary())})
+        if not table.num_rows:
+            return passed
         get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+        data = np.frombuffer(b"".join(C.unsqueeze(x) for x in table.column("data").to_pylist()), np.uint8)
         sizes = get("sizes", np.int32).astype(np.int64)
         counts = get("counts", np.uint8).astype(np.int64)
-        s = Strings(get("ids", np.int64), counts, get("grams", np.uint64), get("places", np.uint8).astype(np.int64), np.cumsum(sizes) - sizes, sizes, get("data", np.uint8))
+        s = Strings(get("ids", np.int64), counts, get("grams", np.uint64), get("places", np.uint8).astype(np.int64), np.cumsum(sizes) - sizes, sizes, data)
         least = resolve(u, s)
         gone = least < np.repeat(s.ids, counts)
         bit = np.uint64(1) << (np.arange(len(gone)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
         masks = np.add.reduceat(np.where(gone, bit, np.uint64(0)), np.cumsum(counts) - counts)
         parts = np.cumsum([0, *(len(x) // 4 for x in table.column("rows").to_pylist())])
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "rows": table.column("rows"), "starts": table.column("starts"), "counts": table.column("counts"), "masks": pa.array([masks[a:b].tobytes() for a, b in zip(parts[:-1], parts[1:], strict=True)], pa.binary())})
+        answered = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "rows": table.column("rows"), "starts": table.column("starts"), "counts": table.column("counts"), "masks": pa.array([masks[a:b].tobytes() for a, b in zip(parts[:-1], parts[1:], strict=True)], pa.binary())})
+        return pa.concat_tables([answered, passed])
 
     return run
 
@@ -362,31 +349,27 @@ def _covered(u: Units, answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def without_repeats(docs: DataFrame, u: Units, resolve: Resolve, out: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, name: str) -> DataFrame:
+def without_repeats(docs: DataFrame, u: Units, resolve: Resolve, out: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """out(data, bounds, unit bounds, covered) of each chunk, after its doc_id column. docs: doc_id, text without nulls."""
-    spark = docs.sparkSession
     size = C.input_bytes(docs)
     chunks, buckets = max(LEAST, size // CHUNK_BYTES), max(LEAST, size // BUCKET_BYTES)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    dealt = C.dealt(docs, chunks)
     asked = dealt.groupBy("chunk").applyInArrow(_ask(u, buckets), REPLY)
     replies = asked.groupBy("bucket").applyInArrow(_reply, REPLY)
     requests = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_requests(u, buckets), REQUEST)
-    requests = C.written(spark, requests, name)
-    answers = requests.where("bucket >= 0").groupBy("bucket").applyInArrow(_answers(u, resolve), ANSWER)
-    known = requests.where("bucket < 0").select("chunk", "bucket", "rows", "starts", "counts", F.lit(None).cast("binary").alias("masks"))
+    answers = requests.groupBy("bucket").applyInArrow(_answers(u, resolve), ANSWER)
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return out(b"", np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, bool)).add_column(0, "doc_id", pa.array([], pa.int64()))
-        chunk = Chunk(docs)
+        chunk = C.Chunk(docs)
         bounds = chunk.bounds
         if u.words:
             n = np.zeros(len(chunk.ids), np.int64)
-            for at, raw, b in chunk.slices():
+            for at, raw, b in chunk.slices(SLICE_UNITS):
                 n[at : at + len(b) - 1] = np.diff(cut_units(u, raw, b).bounds)
             bounds = np.r_[0, np.cumsum(n)]
         covered = _covered(u, answers, bounds)
-        ids = pa.array(chunk.ids, pa.int64(), mask=chunk.ids == NO_ID)
-        return out(chunk.data, chunk.bounds, bounds, covered).add_column(0, "doc_id", ids)
+        return out(chunk.data, chunk.bounds, bounds, covered).add_column(0, "doc_id", chunk.id_column())
 
-    return dealt.groupBy("chunk").cogroup(answers.unionByName(known).groupBy("chunk")).applyInArrow(finish, schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)

@@ -157,4 +157,4 @@ def suffix_repeats(docs: DataFrame, window: int = 50, gram: int = 20, id_col: st
         return pa.table({"n_bytes": pa.array(np.diff(bounds), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.string() if digest else pa.binary())})
 
     schema = SCHEMA.replace("kept binary", "kept string") if digest else SCHEMA
-    return without_repeats(C.texts(docs, id_col, text_col), Units(False, window, gram), resolve, out, schema, "suffix-repeats")
+    return without_repeats(C.texts(docs, id_col, text_col), Units(False, window, gram), resolve, out, schema)

@@ -61,11 +61,9 @@ def resolve(u: Units, s: Strings) -> np.ndarray:
         starts = np.flatnonzero(head)
         word = np.searchsorted(starts, begins)
         a = C.ragged(word, s.counts[own])
-        nexts = np.r_[starts, len(flat) + 1]
         ends_of = np.r_[starts[1:] - 1, len(flat)]
         ends_of[np.r_[word[1:] - 1, len(starts) - 1]] = begins + s.sizes[own]
         lo, hi = starts[a], ends_of[a + u.k - 1]
-        del nexts
         text = pa.Array.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(np.r_[0, np.cumsum(hi - lo)].astype(np.int64)), pa.py_buffer(flat[C.ragged(lo, hi - lo)])])
         order = pc.sort_indices(text)
         ordered = text.take(order)
@@ -90,4 +88,4 @@ def word_repeats(docs: DataFrame, window: int = 50, gram: int = 6, id_col: str =
             kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
         return pa.table({"n_words": pa.array(np.diff(units), pa.int64()), "n_removed": pa.array(n, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    return without_repeats(C.texts(docs, id_col, text_col), Units(True, window, gram), resolve, out, SCHEMA, "word-repeats")
+    return without_repeats(C.texts(docs, id_col, text_col), Units(True, window, gram), resolve, out, SCHEMA)
