@@ -33,7 +33,7 @@ from . import common as C
 from .repeats import BUCKET_BYTES, CHUNK_BYTES, LEAST, Units, cut_units, grams_of, mix
 
 FEW = 8  # groups of so many documents give all their pairs at once
-PIVOTS = 3  # further members that a large group's documents meet before all that is left
+PIVOTS = 1  # times that a large group's documents meet a further member before all that is left
 LOW32 = np.uint64(0xFFFFFFFF)
 UNITS = Units(words=True, k=1, m=1)
 SETS = "chunk int, doc_id long, text_hash long, n_shingles long, grams binary, counts binary"
@@ -164,18 +164,17 @@ def _keep(n: int, buckets: int, percent: int):
 
 
 def _prefixes(percent: int):
+    """gram, node, n (size of its set) and rest: how many of its shared n-grams are not before this one."""
+
     def run(batches):
         for batch in batches:
-            node, size, gram = [], [], []
+            rows = []
             for i, n, g in zip(batch.column("doc_id").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column("grams").to_pylist(), strict=True):
                 g = np.frombuffer(g, np.int64)
-                least = -(-percent * n // 100)
-                own = g[: len(g) - least + 1]
-                node.append(np.full(len(own), i))
-                size.append(np.full(len(own), n))
-                gram.append(own)
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (gram, node, size)], ["gram", "node", "n"])
+                own = g[: len(g) - -(-percent * n // 100) + 1]
+                rows.append((own, np.full(len(own), i), np.full(len(own), n), len(g) - np.arange(len(own))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*rows, strict=True)], ["gram", "node", "n", "rest"])
 
     return run
 
@@ -290,7 +289,7 @@ def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
     sets = dealt.groupBy("chunk").cogroup(stands.unionByName(counted).groupBy("chunk")).applyInArrow(_keep(n, buckets, percent), SETS)
     sets = C.written(spark, sets, "jaccard-sets")
     held = sets.where("grams is not null").select("chunk", "doc_id", "n_shingles", "grams")
-    prefix = C.written(spark, held.mapInArrow(_prefixes(percent), "gram long, node long, n long"), "jaccard-prefixes")
+    prefix = C.written(spark, held.mapInArrow(_prefixes(percent), "gram long, node long, n long, rest long"), "jaccard-prefixes")
     # only groups of two or more
     many = C.written(spark, prefix.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1"), "jaccard-prefix-groups")
     prefix = C.written(spark, prefix.join(many, "gram"), "jaccard-shared-prefixes")
@@ -298,7 +297,8 @@ def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
     segments = C.written(spark, held.groupBy("chunk").applyInArrow(_segments(fragments), "fragment int, nodes binary, grams binary"), "jaccard-segments")
     sizes = held.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
     labels = C.written(spark, sizes.select("node", F.col("node").alias("label")), "jaccard-nodes")
-    fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    # at the first n-gram that two sets share, what follows bounds their overlap; elsewhere the pair is met already
+    fits = (100 + percent) * F.least("rx", "ry") >= percent * (F.col("nx") + F.col("ny"))
 
     def count(pairs: DataFrame) -> DataFrame:
         """x, y of the pairs that link."""
@@ -309,12 +309,15 @@ def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
         total = parts.groupBy("x", "y").agg(F.sum("both").alias("both"))
         return total.join(pairs, ["x", "y"]).where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
 
-    member = prefix.select("gram", F.col("node").alias("x"), F.col("n").alias("nx"))
-    # a large group's members meet its smallest document first
-    pivots = C.written(spark, prefix.where(F.col("members") > FEW).groupBy("gram").agg(F.min(F.struct("node", "n")).alias("p")).select("gram", "p.*"), "jaccard-pivots")
-    first = member.join(pivots.select("gram", F.col("node").alias("y"), F.col("n").alias("ny")), "gram").where((F.col("x") > F.col("y")) & fits)
-    few = prefix.where(F.col("members") <= FEW).groupBy("gram").agg(F.collect_list(F.struct("node", "n")).alias("g"))
-    few = few.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where("a.node > b.node").select(F.col("a.node").alias("x"), F.col("a.n").alias("nx"), F.col("b.node").alias("y"), F.col("b.n").alias("ny")).where(fits)
+    # a large group's members meet the one of which the largest share occurs elsewhere
+    member = prefix.where(F.col("members") > FEW).select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
+    central = F.struct(F.col("rest") / F.col("n"), -F.col("node"))
+    pivots = prefix.where(F.col("members") > FEW).groupBy("gram").agg(F.max_by(F.struct("node", "n", "rest"), central).alias("p"))
+    pivots = C.written(spark, pivots.select("gram", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.rest").alias("ry")), "jaccard-pivots")
+    first = member.join(pivots, "gram").where((F.col("x") != F.col("y")) & fits)
+    few = prefix.where(F.col("members") <= FEW).groupBy("gram").agg(F.collect_list(F.struct("node", "n", "rest")).alias("g"))
+    few = few.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where("a.node > b.node")
+    few = few.select(F.col("a.node").alias("x"), F.col("a.n").alias("nx"), F.col("a.rest").alias("rx"), F.col("b.node").alias("y"), F.col("b.n").alias("ny"), F.col("b.rest").alias("ry")).where(fits)
     cols = ("x", "y", "nx", "ny")
     labels = components(spark, count(first.select(*cols).union(few.select(*cols))), labels)
 
@@ -326,13 +329,14 @@ def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
         if apart.limit(1).count() == 0:
             break
         split = C.written(spark, split.join(apart, "gram"), "jaccard-split")
-        if turn < PIVOTS:  # a hash-chosen document of each component but the first meets the first's members, and theirs meet one of the first
-            pick = F.xxhash64("node", F.lit(turn))
-            one = C.written(spark, split.where("label = lo").groupBy("gram").agg(F.min(F.struct(pick.alias("h"), "node", "n")).alias("p")).select("gram", F.col("p.node").alias("y"), F.col("p.n").alias("ny")), "jaccard-pick")
-            pairs = split.where("label > lo").select("gram", F.col("node").alias("x"), F.col("n").alias("nx")).join(one, "gram").where(fits)
+        one_side = split.select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), "label", "lo")
+        if turn < PIVOTS:  # all other components' members meet one of the first component, chosen anew each time
+            one = split.where("label = lo").groupBy("gram").agg(F.min_by(F.struct("node", "n", "rest"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
+            one = C.written(spark, one.select("gram", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.rest").alias("ry")), "jaccard-pick")
+            pairs = one_side.where("label > lo").join(one, "gram").where(fits)
         else:
-            other = split.select("gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"))
-            pairs = split.select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), "label").join(other, "gram").where((F.col("label") > F.col("other")) & fits)
+            other = split.select("gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("label").alias("other"))
+            pairs = one_side.join(other, "gram").where((F.col("label") > F.col("other")) & fits)
         labels = components(spark, count(pairs.select(*cols)), labels)
 
     named = groups.where("stands is not null").select(*keys, "stands").join(labels.select(F.col("node").alias("stands"), "label"), "stands", "left").select(*keys, F.coalesce("label", "stands").alias("component"))
