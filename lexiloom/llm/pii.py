@@ -162,7 +162,7 @@ class Model:
     """Labelers' reliabilities by expectation-maximisation, and the span classifier trained on its posteriors."""
 
     def __init__(self, counts: list[tuple], rounds: int = 50, epochs: int = 300) -> None:
-        self.counts, total = sorted(counts), max(1, sum(c[3] for c in counts))
+        self.counts = sorted(counts)
         # rates[l][y][v + 1]: how often labeler l votes v on a span of class y
         rates = [[[0.4, 0.4, 0.2], [0.1, 0.3, 0.6]] for _ in range(3)]
         prior, post = {k: 0.7 for k in range(len(KINDS))}, {}
@@ -173,25 +173,29 @@ class Model:
                 for y in (0, 1):
                     for l, v in enumerate(votes):
                         p[y] *= rates[l][y][v + 1]
-                post[kind, votes, size] = p[1] / max(sum(p), 1e-300)
+                # what the validity test confirms is certain, and anchors which class is which
+                post[kind, votes, size] = 1.0 if votes[0] == 1 else p[1] / max(sum(p), 1e-300)
             for k in prior:
                 own = [(post[c[:3]], c[3]) for c in self.counts if c[0] == k]
-                prior[k] = (sum(p * n for p, n in own) + 0.7) / (sum(n for _, n in own) + 1)
+                prior[k] = min(0.999, (sum(p * n for p, n in own) + 7) / (sum(n for _, n in own) + 10))
             for l in range(3):
                 for y in (0, 1):
-                    got = [0.5 * r for r in ((0.4, 0.4, 0.2), (0.1, 0.3, 0.6))[y]]
+                    got = [20 * r for r in ((0.4, 0.4, 0.2), (0.1, 0.3, 0.6))[y]]
                     for c in self.counts:
                         got[c[1][l] + 1] += c[3] * (post[c[:3]] if y else 1 - post[c[:3]])
                     rates[l][y] = [g / sum(got) for g in got]
         self.rates, self.prior, self.posterior = rates, prior, post
-        self.weights = [0.0] * (3 + len(KINDS) + 1)
+        # the classifier starts from the reliabilities, then learns the posteriors; kinds weigh alike, however rare
+        ratio = lambda l: math.log(rates[l][1][2] * rates[l][0][0] / (rates[l][0][2] * rates[l][1][0])) / 2
+        self.weights = [*(ratio(l) for l in range(3)), *(math.log(prior[k] / (1 - prior[k])) for k in range(len(KINDS))), 0.0]
+        of_kind = {k: sum(c[3] for c in self.counts if c[0] == k) * len({c[0] for c in self.counts}) for k in range(len(KINDS))}
         for _ in range(epochs if self.counts else 0):
             slope = [0.0] * len(self.weights)
             for kind, votes, size, n in self.counts:
                 miss = post[kind, votes, size] - self.score(kind, votes, size)
                 for j, x in self._features(kind, votes, size):
-                    slope[j] += n / total * miss * x
-            self.weights = [w + 2.0 * (s - 1e-3 * w) for w, s in zip(self.weights, slope, strict=True)]
+                    slope[j] += n / of_kind[kind] * miss * x
+            self.weights = [w + 1.0 * (s - 1e-4 * w) for w, s in zip(self.weights, slope, strict=True)]
 
     def _features(self, kind: int, votes: tuple, size: int) -> list[tuple[int, float]]:
         return [*((l, float(v)) for l, v in enumerate(votes)), (3 + kind, 1.0), (3 + len(KINDS), size / 20)]

@@ -170,7 +170,7 @@ def minimisers(chunk: C.Chunk, u: Units) -> tuple[np.ndarray, np.ndarray]:
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = bucket_of(hashes, buckets)
     head = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-    return b[head], head, np.r_[head[1:], len(b)].astype(np.int64)
+    return b[head], head, np.r_[head[1:], len(b)].astype(np.int64)[: len(head)]
 
 
 def _ask(u: Units, buckets: int) -> Callable:
@@ -217,6 +217,8 @@ def _requests(u: Units, buckets: int) -> Callable:
             cut.codes = None
         every = np.unique(np.concatenate([k[3] & ~np.uint64(1) for *_, k in cuts]))
         _, lo, hi = _by_bucket(every, buckets)
+        if not len(every):
+            return empty
         many = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8))[: y - x] for p, x, y in zip(packed, lo, hi, strict=True)]).astype(bool)
         many = every[many]
         for at, raw, cut, (doc, window, n, g, p) in cuts:
