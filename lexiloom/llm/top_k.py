@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from . import common as C
 
 BLOCK, QUERY_BLOCK, LONGEST = 4096, 2048, 4096
+SHARD = 8192  # vectors that one meeting task reads, about
 RANGE = 1.02  # norms of one bucket differ by this factor at most
 COORDINATES, HIGH = 3, 0.3
 PAIR_SCHEMA = "query_id long, vec_id long, score long"
@@ -120,7 +121,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     # one row for each range of norms (a few thousand at most, by the range of numbers)
     levels = leveled.groupBy("level").agg(F.count("*").alias("of_level"))
     blocks = leveled.join(F.broadcast(levels), "level").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("of_level") / BLOCK)))
-    n_blocks = -(-n_queries // QUERY_BLOCK) or 1
+    n_blocks, shards = -(-n_queries // QUERY_BLOCK) or 1, -(-stats["n"] // SHARD) or 1
     longest = all_.orderBy(F.desc("norm"), "vec_id").limit(LONGEST).toArrow()
     seeds = spark.sparkContext.broadcast((longest.column("vec_id").to_numpy(), _matrix(longest.column("v"), width).astype(np.float32) if longest.num_rows else np.zeros((0, width), np.float32)))
 
@@ -151,7 +152,11 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     queries = all_.where(is_query).withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
     queries = queries.groupBy("query_block").applyInArrow(pack_queries, "query_block int, q_ids binary, q binary, bound binary")
     packed = blocks.groupBy("level", "block").applyInArrow(pack_vectors, "v_ids binary, v binary")
-    copies = packed.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    near = copies.join(queries, "query_block").mapInArrow(meet, PAIR_SCHEMA)
+    # a meeting has one block of queries and one shard of the vectors' blocks, so no task reads all vectors
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    copies = packed.withColumn("shard", F.pmod(F.xxhash64("v_ids"), F.lit(shards)).cast("int")).withColumn("query_block", numbers(n_blocks))
+    queries = queries.withColumn("shard", numbers(shards))
+    deal = lambda df: df.repartition(n_blocks * shards, "query_block", "shard")
+    near = deal(copies).join(deal(queries), ["query_block", "shard"]).mapInArrow(meet, PAIR_SCHEMA)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
