@@ -2,7 +2,7 @@
 
 First tier: a compact table of frequent pre-tokens and their token counts, broadcast (FREQUENT
 entries of at most MAX_ENTRY bytes, so under 2 MB whatever the corpus). It is fitted on a bounded
-sample of rows, which only decides what is looked up fast: counts are exact for every pre-token.
+sample (SAMPLE_ROWS texts of at most SAMPLE_CHARS characters), which only decides what is looked up fast: counts are exact for every pre-token.
 Second tier: misses are encoded by the library and kept in the worker's bounded cache. No pre-token
 is shuffled.
 
@@ -19,37 +19,26 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as C
 from . import pretokens as P
 
 FREQUENT = 32_768
 MAX_ENTRY = 48
-SAMPLE_ROWS = 400
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def frequent_lengths(docs: DataFrame, tokenizer_path: str, rows: int = SAMPLE_ROWS, entries: int = FREQUENT) -> tuple[bytes, bytes, bytes]:
     """The compact table: joined pre-tokens, their sizes (one byte each) and their token counts (one byte each)."""
+    # a limit that is collected reads a few partitions and shuffles nothing; whole texts, 32 MB at most
+    sample = docs.where(F.length("text") <= SAMPLE_CHARS).select("text").limit(rows).toArrow().column("text").combine_chunks()
     t, seen = P.worker(tokenizer_path), Counter()
-
-    def most(batches):
-        own = Counter()
-        for batch in C.text_slices(batches):
-            words = P.words_of(P.worker(tokenizer_path), batch.column("text"))[0]
-            if not len(words):
-                continue
-            counts = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
-            own.update({w: int(n) for w, n in zip(words.dictionary.to_pylist(), counts.tolist(), strict=True) if len(w) <= MAX_ENTRY})
-            if len(own) > 16 * entries:
-                own = Counter(dict(own.most_common(8 * entries)))
-        top = [(w, n) for w, n in own.most_common(entries) if n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
-
-    # whole texts of the sampled rows, counted where they are read; a task gives `entries` rows at most
-    found = docs.select("text").limit(rows).mapInArrow(most, "word binary, n long").toArrow()
-    for w, n in zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True):
-        seen[w] += n
+    if len(sample):
+        words = P.words_of(t, sample)[0]
+        counts = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
+        seen.update({w: int(n) for w, n in zip(words.dictionary.to_pylist(), counts.tolist(), strict=True) if n > 1 and len(w) <= MAX_ENTRY})
     kept = [w for w, _ in seen.most_common(entries)]
     sizes = [len(t.ids(w)) for w in kept]
     return b"".join(kept), bytes(len(w) for w in kept), bytes(sizes)
