@@ -33,7 +33,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 def frequent_lengths(docs: DataFrame, tokenizer_path: str, rows: int = SAMPLE_ROWS, entries: int = FREQUENT) -> tuple[bytes, bytes, bytes]:
     """The compact table: joined pre-tokens, their sizes (one byte each) and their token counts (one byte each)."""
     # a limit that is collected reads a few partitions and shuffles nothing; whole texts, 32 MB at most
-    sample = docs.where(F.length("text") <= SAMPLE_CHARS).select("text").limit(rows).toArrow().column("text").combine_chunks()
+    sample = pa.array([r["text"] for r in docs.where(F.length("text") <= SAMPLE_CHARS).select("text").limit(rows).collect()], pa.string())
     t, seen = P.worker(tokenizer_path), Counter()
     if len(sample):
         words = P.words_of(t, sample)[0]
