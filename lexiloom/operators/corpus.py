@@ -85,19 +85,11 @@ def confusion_pool(df: DataFrame, predicate: Column, least: int = 2) -> DataFram
     return own.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def number_token(seed: int, *key: str) -> Column:
-    """Numeric tokens in five formats at .35, .20, .15, .15 and .15."""
-    u, v = uniform(seed, *key), F.floor(uniform(seed + 1, *key) * 1_000_000).cast("long")
-    return (
-        F.when(u < 0.35, (v % 10_000).cast("string"))
-        .when(u < 0.55, F.format_number(v, 0))
-        .when(u < 0.70, F.format_string("%d.%02d", F.floor(v / 100).cast("long"), (v % 100).cast("long")))
-        .when(u < 0.85, F.format_string("%d%%", (v % 101).cast("long")))
-        .otherwise(F.format_string("Rs. %d/=", (v % 100_000).cast("long")))
-    )
-
-
-def date_token(seed: int, *key: str) -> Column:
-    u, v = uniform(seed, *key), F.floor(uniform(seed + 1, *key) * (37 * 12 * 28)).cast("int")
-    day = F.make_date(1990 + F.floor(v / 336).cast("int"), 1 + F.floor(v / 28).cast("int") % 12, 1 + v % 28)
-    return F.when(u < 0.25, F.date_format(day, "yyyy-MM-dd")).when(u < 0.5, F.date_format(day, "dd/MM/yyyy")).when(u < 0.75, F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "yyyy.MM.dd"))
+def occurrences(df: DataFrame, ch: str, value: str = "text") -> DataFrame:
+    """n: how often a character occurs in a column."""
+    return df.agg(F.sum(F.length(value) - F.length(F.replace(F.col(value), F.lit(ch), F.lit("")))).alias("n"))
+
+
+def base_folder(path: Column, shared: str) -> Column:
+    """Files under the shared folder go by it, others by their own folder."""
+    return F.when((path == shared) | path.startswith(shared.rstrip("/") + "/"), shared).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
