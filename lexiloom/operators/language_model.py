@@ -53,11 +53,12 @@ def score(lines: DataFrame, counted: DataFrame, order: int, discount: float, *ke
     return grouped.join(log_probabilities(grouped, counted, order, discount), ["ctx", "ch"]).groupBy(*keys).agg(F.sum(F.col("times") * F.col("lp")).alias("lp"))
 
 
-def gated(candidates: DataFrame, counted: DataFrame, order: int, discount: float, key: str) -> DataFrame:
-    """key, chosen: the second of (first, second) where its score is strictly higher."""
-    both = candidates.select(key, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("first").alias("line")), F.struct(F.lit(1).alias("which"), F.col("second").alias("line")))).alias("c")).select(key, "c.*")
-    scored = score(both, counted, order, discount, key, "which").groupBy(key).agg(F.max_by("which", F.struct("lp", (-F.col("which")).alias("o"))).alias("best"))
-    return candidates.join(scored, key, "left").select(key, F.when(F.col("best") == 1, F.col("second")).otherwise(F.col("first")).alias("chosen"))
+def gated(candidates: DataFrame, counted: DataFrame, order: int, discount: float, *keys: str) -> DataFrame:
+    """keys, chosen of every row: the second of (first, second) where its score is strictly higher. Each distinct line is scored once."""
+    lines = candidates.select(F.explode(F.array("first", "second")).alias("line")).distinct()
+    scored = score(lines, counted, order, discount, "line")
+    each = candidates.join(scored.select(F.col("line").alias("first"), F.col("lp").alias("lp_first")), "first", "left").join(scored.select(F.col("line").alias("second"), F.col("lp").alias("lp_second")), "second", "left")
+    return each.select(*keys, F.when(F.col("lp_second") > F.col("lp_first"), F.col("second")).otherwise(F.col("first")).alias("chosen"))
 
 
 def model_lines(df: DataFrame, *keys: str) -> DataFrame:

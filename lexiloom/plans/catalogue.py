@@ -484,8 +484,9 @@ def lm_logp_lines(spark, sf_dir):
 
 @query()
 def lm_gated_choice(spark, sf_dir):
-    c = lm.model_lines(read(spark, sf_dir, "benchmark").where(F.col("text").isNotNull()), "item_id").groupBy("item_id").agg(F.min("line").alias("first"))
-    return lm.gated(c.withColumn("second", F.regexp_replace("first", "e", "a")), _counts(spark, sf_dir), ORDER, DISCOUNT, "item_id")
+    """A choice for every line of every item, by item and line number."""
+    c = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "first"))
+    return lm.gated(c.withColumn("second", F.regexp_replace("first", "e", "a")), _counts(spark, sf_dir), ORDER, DISCOUNT, "item_id", "pos")
 
 
 @query()
