@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,27 +14,82 @@ from ..functions import text as T
 
 #: Fixed value: what stands before the first character.
 BEGIN = "\u0002"
+#: Characters in a piece of a line, coarse to fine; no result depends on them.
+PIECES = (2048, 64)
+#: Characters that a task counts at once.
+BUFFER = 1 << 22
 
 
 def positions(lines: DataFrame, order: int, *keys: str) -> DataFrame:
-    """One row a character: keys, ctx (order - 1 characters before it) and ch."""
-    padded = F.concat(F.lit(BEGIN * (order - 1)), F.col("line"))
-    n = F.length("line")
-    own = lines.where(n > 0).select(*keys, padded.alias("p"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    """One row a character: keys, ctx (order - 1 characters before it) and ch. Long lines are cut in overlapping pieces first, as a substring walks its text from the start."""
+    own = lines.where(F.length("line") > 0).select(*keys, F.concat(F.lit(BEGIN * (order - 1)), F.col("line")).alias("p"))
+    for size in PIECES:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p") - (order - 1)), F.lit(size))
+        own = own.select(*keys, "p", F.explode(starts).alias("i")).select(*keys, F.substring("p", F.col("i"), F.lit(size + order - 1)).alias("p"))
+    own = own.select(*keys, "p", F.explode(F.sequence(F.lit(1), F.length("p") - (order - 1))).alias("i"))
     return own.select(*keys, F.substring("p", F.col("i"), F.lit(order - 1)).alias("ctx"), F.substring("p", F.col("i") + order - 1, F.lit(1)).alias("ch"))
 
 
+def _grams(lines: list[pa.Array], order: int) -> pa.RecordBatch:
+    """ctx, ch, n of some lines: windows become numbers in the base of the characters at hand, and are sorted."""
+    own = pa.concat_arrays(lines)
+    sizes = pc.utf8_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+    pad = BEGIN * (order - 1)
+    codes = np.frombuffer((pad + pad.join(own.to_pylist())).encode("utf-32-le"), np.uint32)
+    starts = np.cumsum(sizes + order - 1) - sizes - order + 1
+    chars, ids = np.unique(codes, return_inverse=True)
+    base, n = len(chars), len(codes) - order + 1
+    begins = np.ones(n, bool)  # of windows that end in a line's own character
+    for k in range(1, order):
+        begins[starts[1:] - k] = False
+    if base**order < 1 << 63:
+        key = np.zeros(n, np.int64)
+        for k in range(order):
+            key = key * base + ids[k : k + n]
+        key, count = np.unique(key[begins], return_counts=True)
+        cells = np.empty((len(key), order), np.int64)
+        for k in range(order - 1, -1, -1):
+            key, cells[:, k] = np.divmod(key, base)
+    else:
+        cells, count = np.unique(np.lib.stride_tricks.sliding_window_view(ids, order)[begins], axis=0, return_counts=True)
+    text = chars[cells].astype("<u4")
+    whole = np.ascontiguousarray(text).tobytes().decode("utf-32-le")
+    return pa.RecordBatch.from_arrays([pa.array([whole[i : i + order - 1] for i in range(0, len(whole), order)], pa.string()), pa.array(list(whole[order - 1 :: order]), pa.string()), pa.array(count, pa.int64())], ["ctx", "ch", "n"])
+
+
+def longest(lines: DataFrame, order: int) -> DataFrame:
+    """ctx, ch, n for contexts of order - 1 characters. Each task counts a buffer of lines at a time, so only distinct windows travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0))
+            size += batch.column(0).nbytes
+            if size >= BUFFER:
+                yield _grams(held, order)
+                held, size = [], 0
+        if held:
+            yield _grams(held, order)
+
+    own = lines.where(F.length("line") > 0).select("line")
+    return own.mapInArrow(run, "ctx string, ch string, n long").groupBy("ctx", "ch").agg(F.sum("n").alias("n"))
+
+
 def counts(lines: DataFrame, order: int) -> DataFrame:
     """k, ctx, ch, n for k = 0 .. order - 1. The longest contexts are counted once; shorter ones are sums of these."""
-    longest = positions(lines, order).groupBy("ctx", "ch").agg(F.count("*").alias("n"))
-    each = longest.select(F.explode(F.sequence(F.lit(0), F.lit(order - 1))).alias("k"), "ctx", "ch", "n")
-    return each.select("k", F.expr(f"right(ctx, k)").alias("ctx"), "ch", "n").groupBy("k", "ctx", "ch").agg(F.sum("n").alias("n"))
+    each = longest(lines, order).select(F.explode(F.sequence(F.lit(0), F.lit(order - 1))).alias("k"), "ctx", "ch", "n")
+    return each.select("k", F.expr("right(ctx, k)").alias("ctx"), "ch", "n").groupBy("k", "ctx", "ch").agg(F.sum("n").alias("n"))
 
 
 def totals(counted: DataFrame) -> DataFrame:
     return counted.groupBy("k", "ctx").agg(F.sum("n").alias("total"))
 
 
+def sizes(counted: DataFrame) -> DataFrame:
+    """Characters seen, and contexts of all lengths; each context is one group, so no distinct set is expanded."""
+    return counted.groupBy("k", "ctx").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("k") == 0, F.col("n"))), F.lit(0)).alias("vocabulary"), F.count("*").alias("contexts"))
+
+
 def vocabulary_size(counted: DataFrame) -> int:
     return max(1, counted.where("k = 0").count())
 
@@ -50,7 +110,7 @@ def score(lines: DataFrame, counted: DataFrame, order: int, discount: float, *ke
     """keys, lp: summed log probability of each line. Each distinct (context, character) is scored once."""
     at = positions(lines, order, *keys)
     grouped = at.groupBy(*keys, "ctx", "ch").agg(F.count("*").alias("times"))
-    return grouped.join(log_probabilities(grouped, counted, order, discount), ["ctx", "ch"]).groupBy(*keys).agg(F.sum(F.col("times") * F.col("lp")).alias("lp"))
+    return grouped.join(log_probabilities(longest(lines, order), counted, order, discount), ["ctx", "ch"]).groupBy(*keys).agg(F.sum(F.col("times") * F.col("lp")).alias("lp"))
 
 
 def gated(candidates: DataFrame, counted: DataFrame, order: int, discount: float, *keys: str) -> DataFrame:

@@ -14,6 +14,8 @@ from ..operators import boxes, corpus, generate, history, language_model as lm,
 PUNCTUATION = ".,;:!?-()[]{}\"'/%&+=*#@<>|_~$^`\\ "
 CHARS = T.default_characters(PUNCTUATION)
 ORDER, DISCOUNT = 3, 4.0
+#: The reference's setting, for the queries over the whole of documents.
+FULL_ORDER, FULL_DISCOUNT = 6, 2.0
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -458,7 +460,7 @@ def ngram_totals(spark, sf_dir):
 
 @query(f"WITH {GRAMS_SQL} SELECT count(*) FILTER (k = 0) AS vocabulary, count(DISTINCT (k, ctx)) AS contexts FROM c")
 def lm_vocab(spark, sf_dir):
-    return _counts(spark, sf_dir).agg(F.count(F.when(F.col("k") == 0, 1)).alias("vocabulary"), F.count_distinct("k", "ctx").alias("contexts"))
+    return lm.sizes(_counts(spark, sf_dir))
 
 
 LP_SQL = "ln({2})"
@@ -482,11 +484,40 @@ def lm_logp_lines(spark, sf_dir):
     return lm.score(rows, _counts(spark, sf_dir), ORDER, DISCOUNT, "conv_id", "turn").withColumn("lp", F.round("lp", 4))
 
 
+# The same over the whole of documents in the reference's setting; without SQL, which would be too slow at that volume.
+
+
+def _full_counts(spark, sf_dir):
+    return lm.counts(lm.model_lines(read(spark, sf_dir, "documents")), FULL_ORDER)
+
+
+@query()
+def ngram_counts_documents(spark, sf_dir):
+    return _full_counts(spark, sf_dir)
+
+
+@query()
+def ngram_totals_documents(spark, sf_dir):
+    return lm.totals(_full_counts(spark, sf_dir))
+
+
+@query()
+def lm_vocab_documents(spark, sf_dir):
+    return lm.sizes(_full_counts(spark, sf_dir))
+
+
+@query()
+def lm_logp_lines_documents(spark, sf_dir):
+    """Every line of every document, by document and line number."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+    return lm.score(rows, _full_counts(spark, sf_dir), FULL_ORDER, FULL_DISCOUNT, "doc_id", "pos").withColumn("lp", F.round("lp", 4))
+
+
 @query()
 def lm_gated_choice(spark, sf_dir):
     """A choice for every line of every item, by item and line number."""
     c = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "first"))
-    return lm.gated(c.withColumn("second", F.regexp_replace("first", "e", "a")), _counts(spark, sf_dir), ORDER, DISCOUNT, "item_id", "pos")
+    return lm.gated(c.withColumn("second", F.regexp_replace("first", "e", "a")), _full_counts(spark, sf_dir), FULL_ORDER, FULL_DISCOUNT, "item_id", "pos")
 
 
 @query()

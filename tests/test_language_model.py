@@ -50,8 +50,30 @@ def tables(spark, folder):
 
 def test_every_line_of_an_item_gets_a_choice(spark, tmp_path):
     items = tables(spark, tmp_path)
-    model = Plain([x for t in TEXTS for x in lines_of(t)], catalogue.ORDER, catalogue.DISCOUNT)
+    model = Plain([x for t in TEXTS for x in lines_of(t)], 6, 2.0)
     want = {(i, k): max((x, x.replace("e", "a")), key=model.score) for i, t in items for k, x in enumerate(lines_of(t))}
     got = catalogue.lm_gated_choice(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r["item_id"], r["pos"]): r["chosen"] for r in got} == want
     assert any("e" in x for x in want.values()) and {"zzz", "a mat"} < set(want.values())
+
+
+def test_document_queries_have_the_reference_setting_and_every_line(spark, tmp_path):
+    tables(spark, tmp_path)
+    lines = {(i, k): x for i, t in enumerate(TEXTS) for k, x in enumerate(lines_of(t))}
+    model = Plain(lines.values(), 6, 2.0)
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r["k"], r["ctx"], r["ch"]): r["n"] for r in run("ngram_counts_documents")} == model.n
+    assert {(r["k"], r["ctx"]): r["total"] for r in run("ngram_totals_documents")} == model.total
+    assert [tuple(r) for r in run("lm_vocab_documents")] == [(model.size, len(model.total))]
+    got = {(r["doc_id"], r["pos"]): r["lp"] for r in run("lm_logp_lines_documents")}
+    assert got.keys() == lines.keys() and all(abs(got[k] - model.score(x)) < 1e-3 for k, x in lines.items())
+
+
+def test_long_lines_and_large_alphabets_are_counted_whole(spark):
+    lines = ["ab" * 5000, "".join(map(chr, range(0x4E00, 0x4E00 + 3000))), "x", "\U0001f600\u0002"]
+    own = spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)
+    model = Plain(lines, 6, 2.0)
+    assert {(r["k"], r["ctx"], r["ch"]): r["n"] for r in lm.counts(own, 6).collect()} == model.n
+    want = Plain(lines, 3, 2.0)
+    got = lm.positions(own, 3).groupBy("ctx", "ch").count().collect()
+    assert {(2, r["ctx"], r["ch"]): r["count"] for r in got} == {k: n for k, n in want.n.items() if k[0] == 2}
