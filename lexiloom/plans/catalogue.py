@@ -80,6 +80,14 @@ def leak_basenames(spark, sf_dir):
     return leakage.image_hits(p.where("page_id % 2 = 1"), p.where("page_id % 2 = 0"), "set_id")
 
 
+@query("WITH p AS (SELECT page_id % 5 AS set_id, string_split(string_split(url, '?')[1], '/')[-1] AS b FROM pages), r AS (SELECT b FROM p GROUP BY b HAVING count(*) > 1) SELECT set_id, count(*) AS n, count(r.b) AS image_hits FROM p LEFT JOIN r USING (b) GROUP BY set_id")
+def leak_basenames_all(spark, sf_dir):
+    """Every page against all others: a hit is a name that another page has."""
+    p = read(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("set_id"), F.element_at(F.split("url", r"\?"), 1).alias("rel_path"))
+    names = p.groupBy(F.element_at(F.split("rel_path", "/"), -1).alias("rel_path")).count().where("count > 1")
+    return leakage.image_hits(p, names, "set_id")
+
+
 # -- corpus preparation ------------------------------------------------------------------------------
 
 
@@ -397,7 +405,7 @@ def box_fixpoint_merge(spark, sf_dir):
 @query()
 def prefix_beam(spark, sf_dir):
     rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.transform(F.slice(F.col("embedding"), 4 * t + 1, F.lit(4)), lambda x: F.least(F.lit(-1e-3), x.cast("double") * 4 - 2)))
-    return sequence.beam_search(read(spark, sf_dir, "embeddings").select("vec_id", rows.alias("frames")), "vec_id", "frames", ["a", "b", "c"], width=12, top=3)
+    return sequence.beam_search(read(spark, sf_dir, "embeddings").select("vec_id", rows.alias("frames")), "vec_id", "frames", ["a", "b", "c"], width=12)
 
 
 BOXES_SQL = """b AS (SELECT vec_id, CAST(floor(abs(CAST(embedding[4 * i + 1] AS DOUBLE)) * 300) AS INTEGER) AS x, CAST(floor(abs(CAST(embedding[4 * i + 2] AS DOUBLE)) * 1000) AS INTEGER) AS y, CAST(floor(abs(CAST(embedding[4 * i + 3] AS DOUBLE)) * 200 + 8) AS INTEGER) AS w, CAST(floor(abs(CAST(embedding[4 * i + 4] AS DOUBLE)) * 60 + 6) AS INTEGER) AS h FROM embeddings, range(16) r(i))"""
