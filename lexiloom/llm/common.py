@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on at a time.
@@ -20,26 +21,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null: str | None = "") -> DataFrame:
-    """Only (doc_id, text), whatever else the input holds; a null text becomes `null`."""
-    text = F.col(text_col) if null is None else F.coalesce(F.col(text_col), F.lit(null))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """Only (doc_id, text) and what is asked for besides, whatever else the input holds; a null text becomes empty."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only a session without one (tests) gets a local one."""
+    """The folder that driver and executors share. Only a session that is one process (tests) gets one of its own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lexiloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df through a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Tables:
+    """Parquet tables of one call, in a folder of its own under the shared one.
+
+    A table cuts the lineage and survives lost executors. drop() takes those that nothing reads any more;
+    what a lazy result still reads goes when the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        atexit.register(self._end)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.files.delete(self.path(f"{self.folder}/{name}"), True)
+
+    def _end(self) -> None:
+        from py4j.protocol import Py4JError
+
+        try:
+            self.files.delete(self.path(self.folder), True)
+        except (Py4JError, OSError):  # the JVM has gone first: what is left is the folder's owner's
+            pass
 
 
 #: What the optimizer says when it knows nothing is over this.

@@ -27,6 +27,7 @@ from . import common as C
 from . import pretokens as P
 
 IDS_SCHEMA = "part string, doc_id long, base long, n long, wide boolean, ids binary"
+SMALL = 1 << 18  # partitions whose offsets (some 80 bytes each, 20 MB) are broadcast; more are joined by the optimizer's choice
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -53,11 +54,13 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
 def packed(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: the document's ids [start, start + length) lie at offset of sequence_id."""
-    spark = docs.sparkSession
-    ids = C.written(spark, tokenised(C.texts(docs, id_col, text_col), tokenizer_path, end_id), "packing-ids")
+    tables = C.Tables(docs.sparkSession, "packing")
+    ids = tables.written(tokenised(C.texts(docs, id_col, text_col), tokenizer_path, end_id), "ids")
     # one row a partition of the input: its size doesn't grow with the documents of a partition
     totals = ids.groupBy("part").agg(F.max(F.col("base") + F.col("n")).alias("total"))
-    offsets = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
+    offsets = tables.written(totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before")), "offsets")
+    if offsets.count() <= SMALL:
+        offsets = F.broadcast(offsets)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = (batch.column("before").to_numpy() + batch.column("base").to_numpy()).astype(np.int64)
@@ -83,5 +86,5 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int
             for a in range(0, batch.num_rows, 500):
                 yield each(batch.slice(a, 500))
 
-    with_before = ids.join(F.broadcast(offsets), "part").select("doc_id", "base", "n", "wide", "ids", "before")
+    with_before = ids.join(offsets, "part").select("doc_id", "base", "n", "wide", "ids", "before")
     return with_before.mapInArrow(cut, SCHEMA)
