@@ -1,28 +1,34 @@
 """N-gram Jaccard join by vertical partitioning.
 
-1. Rows of equal text are one node (their smallest id): only (hash, id) pairs travel for that.
-2. Chunks of documents send their distinct n-gram hashes to buckets and learn how many documents hold
-   each. This count, then the hash, is the global n-gram order, rare first. A document of which less than the
-   threshold's share of n-grams occurs elsewhere can link to nothing; the others' sets are written.
-3. Linking sets share an n-gram within their prefixes in the global order. Documents of a prefix group are
-   paired with the group's smallest document first; groups of a few documents give all their pairs.
+1. Rows of equal text are one node: only ids and hashes travel for that.
+2. Chunks of documents send the distinct n-gram hashes of their nodes to buckets and learn how many nodes hold
+   each. This count (exact up to 127, then within a tenth, without a cap), then the hash, is the global n-gram
+   order, rare first. A node of which less than the threshold's share of n-grams occurs elsewhere can link to
+   nothing; the others' sets are written.
+3. Linking sets share an n-gram within their prefixes in the global order. Nodes of a prefix group are
+   paired with the group's most shared member first; groups of a few nodes give all their pairs.
 4. The hash space of the n-grams is cut into fragments. Each fragment counts the overlap of each candidate pair
    in its part only; partial counts are summed per pair, and the sum decides the link exactly.
-5. Components follow by spreading the smallest id. Then pairs of a prefix group whose documents are still
-   in different components are counted the same way, first against further members of the group, then whatever is left, until none is left
-   uncounted: every pair of a group is counted or already connected, so components are those of all links.
+5. Components follow by spreading the smallest node. Then members of a prefix group that are still in different
+   components meet: as long as that is much work, each meets a further member of the first component; then
+   whatever is left is paired in blocks of a bounded size by n-gram and size of the set (sizes of linking sets
+   differ by the threshold at most), where only pairs come out that what follows the shared n-gram allows.
+   So every pair of a group is counted, connected or impossible, and components are those of all links.
 
-A group of near copies, whatever its size, thus costs one pair for each document and not all its pairs.
-Sets are sets of 64-bit hashes of the n-grams.
+A group of near copies, whatever its size, thus costs one pair for each node and not all its pairs.
+Sets are sets of 64-bit hashes of the n-grams. Messages between chunks, buckets and fragments are at most as
+many as the n-grams (or pairs) in them, however fine the grid; below that they are chunks times buckets.
 
 Defined results: A-Z are lower-cased; fewer words than n are one n-gram; a null, empty or blank text has no
-n-grams and links to nothing; rows that repeat an id are one document, whose set is that of its smallest text hash;
-a null id takes no part in links; an empty table gives no rows; other columns of the input are ignored, whatever
-their names.
+n-grams and links to nothing; each row is a document of its own, also if its id is repeated or null; a component is
+named by its smallest id that is not null (null if there is none); an empty table gives no rows; other columns of the input are
+ignored, whatever their names (one_each() breaks ties between rows of one id by a hash of them).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,13 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .repeats import BUCKET_BYTES, CHUNK_BYTES, LEAST, Units, cut_units, grams_of, mix
+from .repeats import Units, cut_units, grams_of, grid, mix
 
-FEW = 8  # groups of so many documents give all their pairs at once
-PIVOTS = 1  # times that a large group's documents meet a further member before all that is left
+FEW = 8  # groups of so many nodes give all their pairs at once
+PIVOTS, EASY = 4, 1 << 28  # further members that a large group meets at most, while more comparisons than this are left
+MEETING = 4096  # rows of a block of the last meetings
 LOW32 = np.uint64(0xFFFFFFFF)
 UNITS = Units(words=True, k=1, m=1)
-SETS = "chunk int, doc_id long, text_hash long, n_shingles long, grams binary, counts binary"
+SETS = "chunk int, node long, n_shingles long, grams binary"
+
+
+def coded(count: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact up to 127, then by their logarithm."""
+    return np.where(count < 128, count, np.minimum(255, 128 + np.rint(6 * np.log2(np.maximum(count, 128) / 128)))).astype(np.uint8)
+
+
+def decoded(code: np.ndarray) -> np.ndarray:
+    return np.where(code < 128, code, np.rint(128 * 2.0 ** ((code.astype(np.int64) - 128) / 6))).astype(np.int64)
 
 
 def lower_ascii(data: bytes) -> bytes:
@@ -72,12 +88,18 @@ def spot(gram: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Chunk(C.Chunk):
-    """Documents of a chunk, and those that stand for their text."""
+    """The nodes of a chunk: of its documents those that stand for their text."""
 
-    def __init__(self, packed: pa.Table, stands: np.ndarray) -> None:
+    def __init__(self, packed: pa.Table, side: pa.Table) -> None:
         super().__init__(packed)
-        first = np.r_[True, self.ids[1:] != self.ids[:-1]]
-        self.node = first & (self.ids != C.NO_ID) & np.isin(self.ids, stands)
+        stands = side.filter(pc.equal(side.column("kind"), 0)).column("data").to_pylist()
+        ids, hashes, nodes = np.concatenate([np.zeros((3, 0), np.int64), *(np.frombuffer(x, np.int64).reshape(3, -1) for x in stands)], axis=1)
+        of = dict(zip(zip(ids.tolist(), hashes.tolist(), strict=True), nodes.tolist(), strict=True))
+        own = np.array([of.pop(k, -1) for k in zip(self.ids.tolist(), self.hashes.tolist(), strict=True)], np.int64)
+        rows = np.flatnonzero(own >= 0)
+        size = np.diff(self.bounds)[rows]
+        self.data = np.frombuffer(self.data, np.uint8)[C.ragged(self.bounds[:-1][rows], size)].tobytes()
+        self.ids, self.hashes, self.nodes, self.bounds = self.ids[rows], self.hashes[rows], own[rows], np.r_[0, np.cumsum(size)]
 
     def sets(self, n: int):
         for at, data, bounds in self.slices(1 << 20):
@@ -85,11 +107,6 @@ class Chunk(C.Chunk):
             yield doc + at, gram
 
 
-def _ids(table: pa.Table, kind: int) -> np.ndarray:
-    rows = table.filter(pc.equal(table.column("kind"), kind))
-    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in rows.column("data").to_pylist())])
-
-
 SIDE = "chunk int, kind int, bucket int, data binary, counts binary"
 
 
@@ -97,8 +114,8 @@ def _ask(n: int, buckets: int):
     def run(key: tuple, docs: pa.Table, side: pa.Table) -> pa.Table:
         out = {"chunk": [], "kind": [], "bucket": [], "data": [], "counts": []}
         if docs.num_rows:
-            chunk = Chunk(docs, _ids(side, 0))
-            spots = np.concatenate([np.zeros(0, np.uint64), *(spot(g[chunk.node[d]], buckets) for d, g in chunk.sets(n))])
+            C.release()
+            spots = np.concatenate([np.zeros(0, np.uint64), *(spot(g, buckets) for _, g in Chunk(docs, side).sets(n))])
             spots, count = np.unique(spots, return_counts=True)
             b = (spots >> np.uint64(32)).astype(np.int64)
             head = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
@@ -106,7 +123,7 @@ def _ask(n: int, buckets: int):
                 x, y = int(x), int(y)
                 out["bucket"].append(int(b[x]))
                 out["data"].append((spots[x:y] & LOW32).astype(np.uint32).tobytes())
-                out["counts"].append(np.minimum(count[x:y], 255).astype(np.uint8).tobytes())
+                out["counts"].append(coded(count[x:y]).tobytes())
         m = len(out["bucket"])
         return pa.table({"chunk": pa.array([key[0].as_py()] * m, pa.int32()), "kind": pa.array([1] * m, pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "data": pa.array(out["data"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
@@ -115,50 +132,47 @@ def _ask(n: int, buckets: int):
 
 def _count(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, np.uint32) for x in table.column("data").to_pylist()]
-    own = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()]).astype(np.int64)
+    own = decoded(np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()]))
     gram = np.concatenate(parts)
     order = np.argsort(gram, kind="stable")
     ordered = gram[order]
     head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     total = np.add.reduceat(own[order], head)
     back = np.empty(len(gram), np.uint8)
-    back[order] = np.minimum(np.repeat(total, np.diff(np.r_[head, len(gram)])), 255).astype(np.uint8)
+    back[order] = np.repeat(coded(total), np.diff(np.r_[head, len(gram)]))
     cuts = np.cumsum([0, *map(len, parts)])
     return pa.table({"chunk": table.column("chunk"), "kind": table.column("kind"), "bucket": table.column("bucket"), "data": pa.array([b""] * table.num_rows, pa.binary()), "counts": pa.array([back[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
 def _keep(n: int, buckets: int, percent: int):
-    """n_shingles of every row; the set of each node of which enough n-grams occur elsewhere, in the global order."""
+    """n_shingles of every node; the set of each of which enough n-grams occur elsewhere, in the global order."""
 
     def run(key: tuple, docs: pa.Table, side: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64()), "text_hash": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()), "grams": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+            return pa.table({"chunk": pa.array([], pa.int32()), "node": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()), "grams": pa.array([], pa.binary())})
         C.release()
-        chunk = Chunk(docs, _ids(side, 0))
+        chunk = Chunk(docs, side)
         rows = len(chunk.ids)
-        sizes, sets, counts = np.zeros(rows, np.int64), [None] * rows, [None] * rows
+        sizes, sets = np.zeros(rows, np.int64), [None] * rows
         found = list(chunk.sets(n))
-        spots = np.unique(np.concatenate([np.zeros(0, np.uint64), *(spot(g[chunk.node[d]], buckets) for d, g in found)]))
+        spots = np.unique(np.concatenate([np.zeros(0, np.uint64), *(spot(g, buckets) for _, g in found)]))
         side = side.filter(pc.equal(side.column("kind"), 1))
         order = np.argsort(side.column("bucket").to_numpy())
         replies = side.column("counts").to_pylist()
         total = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(replies[i], np.uint8) for i in order.tolist())])
         for doc, gram in found:
-            sizes += np.bincount(doc, minlength=len(sizes))
-            own = chunk.node[doc]
-            doc, gram = doc[own], gram[own]
             if not len(doc):
                 continue
             of = total[np.searchsorted(spots, spot(gram, buckets))]
             head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             size = np.diff(np.r_[head, len(doc)])
+            sizes[doc[head]] = size
             shared = np.add.reduceat((of > 1).astype(np.int64), head)
             for i in np.flatnonzero(100 * shared >= percent * size).tolist():
                 at = slice(int(head[i]), int(head[i] + size[i]))
                 g, c = gram[at][of[at] > 1], of[at][of[at] > 1]
-                rank = np.lexsort((g, c))
-                sets[doc[head[i]]], counts[doc[head[i]]] = g[rank].tobytes(), c[rank].tobytes()
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(sizes), pa.int32()), "doc_id": chunk.id_column(), "text_hash": pa.array(chunk.hashes, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "grams": pa.array(sets, pa.binary()), "counts": pa.array(counts, pa.binary())})
+                sets[doc[head[i]]] = g[np.lexsort((g, c))].tobytes()
+        return pa.table({"chunk": pa.array([key[0].as_py()] * rows, pa.int32()), "node": pa.array(chunk.nodes), "n_shingles": pa.array(sizes, pa.int64()), "grams": pa.array(sets, pa.binary())})
 
     return run
 
@@ -169,7 +183,7 @@ def _prefixes(percent: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for i, n, g in zip(batch.column("doc_id").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+            for i, n, g in zip(batch.column("node").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column("grams").to_pylist(), strict=True):
                 g = np.frombuffer(g, np.int64)
                 own = g[: len(g) - -(-percent * n // 100) + 1]
                 rows.append((own, np.full(len(own), i), np.full(len(own), n), len(g) - np.arange(len(own))))
@@ -183,7 +197,7 @@ def _segments(fragments: int):
     """The sets of a chunk, cut by fragment."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("node").to_numpy()
         parts = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
         gram = np.concatenate(parts)
         node = np.repeat(ids, [len(p) for p in parts])
@@ -203,7 +217,7 @@ def _ask_fragments(fragments: int):
     def run(key: tuple, sets: pa.Table, pairs: pa.Table) -> pa.Table:
         out = {"fragment": [], "x": [], "y": []}
         if sets.num_rows and pairs.num_rows:
-            ids = sets.column("doc_id").to_numpy()
+            ids = sets.column("node").to_numpy()
             order = np.argsort(ids)
             parts = [np.frombuffer(x, np.uint64) for x in sets.column("grams").to_pylist()]
             parts = [np.unique((((parts[i] >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)) for i in order.tolist()]
@@ -253,95 +267,197 @@ def _overlaps(key: tuple, segments: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(x[some]), "y": pa.array(y[some]), "both": pa.array(both[some])})
 
 
-def components(spark, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def _meetings(percent: int):
+    """x, y, nx, ny of the pairs of each run (rows of one n-gram, band and pair of blocks) that are apart and can link.
+
+    Rows come sorted by run; a run has two blocks of about MEETING rows at most.
+    """
+    keys = ("gram", "band", "i", "j")
+
+    def pairs(t: dict[str, np.ndarray]):
+        change = np.zeros(len(t["gram"]), bool)
+        change[0] = True
+        for k in keys:
+            change[1:] |= t[k][1:] != t[k][:-1]
+        head = np.flatnonzero(change)
+        size = np.diff(np.r_[head, len(change)])
+        after = np.repeat(head + size, size) - 1 - np.arange(len(change))  # partners that come later in the run
+        done = np.r_[0, np.cumsum(after)]
+        at = 0
+        while at < len(after):
+            stop = max(at + 1, int(np.searchsorted(done, done[at] + (1 << 21), "right")) - 1)
+            p = np.repeat(np.arange(at, stop), after[at:stop])
+            q = C.ragged(np.arange(at, stop) + 1, after[at:stop])
+            ok = (t["label"][p] != t["label"][q]) & ~(t["guest"][p] & t["guest"][q]) & ((t["i"][p] == t["j"][p]) | (t["block"][p] != t["block"][q]))
+            p, q = p[ok], q[ok]
+            ok = (100 + percent) * np.minimum(t["rest"][p], t["rest"][q]) >= percent * (t["n"][p] + t["n"][q])
+            p, q = p[ok], q[ok]
+            up = t["node"][p] > t["node"][q]
+            x, y = np.where(up, p, q), np.where(up, q, p)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (t["node"][x], t["node"][y], t["n"][x], t["n"][y])], ["x", "y", "nx", "ny"])
+            at = stop
+
+    def run(batches):
+        held, rows = [], 0
+        columns = (*keys, "node", "n", "rest", "label", "block", "guest")
+
+        def whole(last: bool):
+            table = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in columns}
+            end = len(table["gram"])
+            if not last:  # the last run may go on in the next batch
+                same = np.ones(end, bool)
+                for k in keys:
+                    same &= table[k] == table[k][-1]
+                end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            return {c: v[:end] for c, v in table.items()}, pa.RecordBatch.from_arrays([pa.array(v[end:]) for v in table.values()], list(columns))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows > 100_000:
+                ready, left = whole(False)
+                held, rows = [left], left.num_rows if len(ready["gram"]) else 0
+                if len(ready["gram"]):
+                    yield from pairs(ready)
+        if held:
+            ready, _ = whole(True)
+            if len(ready["gram"]):
+                yield from pairs(ready)
+
+    return run
+
+
+def met(split: DataFrame, percent: int) -> DataFrame:
+    """x, y, nx, ny of all pairs of split (gram, node, n, rest, label) that share an n-gram, are apart and can link."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    # sets that link differ in size by the threshold at most: of a pair the smaller one is in the band of the larger or the next lower
+    own = split.select("gram", "node", "n", "rest", "label", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))).alias("b")).select("*", "b.*").drop("b")
+    sizes = own.groupBy("gram", "band").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("blocks"), F.count(F.when(~F.col("guest"), 1)).alias("hosts"), F.count("*").alias("all")).where("hosts > 0 and all > 1").select(F.col("gram").alias("g"), F.col("band").alias("at"), "blocks")
+    own = own.join(sizes, (F.col("gram") == F.col("g")) & (F.col("band") == F.col("at"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("gram", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n", "rest", "label", "block", "guest")
+    return own.repartition("gram", "band", "i", "j").sortWithinPartitions("gram", "band", "i", "j").mapInArrow(_meetings(percent), "x long, y long, nx long, ny long")
+
+
+def components(tables: C.Tables, edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """node, label: the smallest node that links reach. edges: x, y; nodes: node, label so far (a node of its component)."""
-    both = C.written(spark, edges.select("x", "y").union(edges.select(F.col("y"), F.col("x"))), "jaccard-edges")
-    labels = nodes
+    both = tables.written(edges.select("x", "y").union(edges.select(F.col("y"), F.col("x"))), f"{name}-edges")
+    labels, turn = nodes, 0
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), F.col("label").alias("near")), "y").groupBy(F.col("x").alias("node")).agg(F.min("near").alias("near"))
         moved = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         # a component's label moves as a whole: the smallest that any of its nodes has found
         root = moved.groupBy("label").agg(F.min("low").alias("low"))
         jump = root.join(root.select(F.col("label").alias("low"), F.col("low").alias("lower")), "low", "left").select("label", F.least("low", F.coalesce("lower", "low")).alias("to"))
-        step = C.written(spark, labels.join(jump, "label").select("node", F.col("to").alias("label"), (F.col("to") < F.col("label")).alias("moved")), "jaccard-labels")
+        step = tables.written(labels.join(jump, "label").select("node", F.col("to").alias("label"), (F.col("to") < F.col("label")).alias("moved")), f"{name}-{turn}")
         labels = step.select("node", "label")
+        if turn:
+            tables.drop(f"{name}-{turn - 1}")
+        turn += 1
         if step.where("moved").limit(1).count() == 0:
+            tables.drop(f"{name}-edges")
             return labels
 
 
-def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
-    docs = C.texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    size = C.input_bytes(docs)
-    chunks, buckets = max(LEAST, size // CHUNK_BYTES), max(LEAST, size // BUCKET_BYTES)
+def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; with carry, those columns of docs and `label`, the component's number."""
+    tables = C.Tables(docs.sparkSession, "jaccard")
+    docs = C.texts(docs, id_col, text_col, *(F.col(c).alias(f"c_{c}") for c in carry)).withColumn("text_hash", F.xxhash64("text"))
+    chunks, buckets = grid(docs)
     chunk_of = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
     # equal texts: by two hashes and the length
     keys = ("text_sha", "text_hash", "chars")
-    rows = C.written(spark, docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("text_sha"), "text_hash", F.length("text").alias("chars")), "jaccard-rows")
-    groups = C.written(spark, rows.groupBy(*keys).agg(F.min("doc_id").alias("stands"), F.count("*").alias("copies")), "jaccard-groups")
-    stands = groups.where("stands is not null").select(chunk_of("stands").alias("chunk"), F.col("stands").alias("doc_id"))
-    stands = stands.groupBy("chunk").applyInArrow(lambda t: pa.table({"chunk": t.column("chunk").slice(0, 1), "kind": pa.array([0], pa.int32()), "bucket": pa.array([-1], pa.int32()), "data": pa.array([t.column("doc_id").to_numpy().tobytes()], pa.binary()), "counts": pa.array([b""], pa.binary())}), SIDE)
-    stands = C.written(spark, stands, "jaccard-stands")
+    rows = tables.written(docs.select("doc_id", *(f"c_{c}" for c in carry), F.unhex(F.sha2("text", 256)).alias("text_sha"), "text_hash", F.length("text").alias("chars")), "rows")
+    groups = rows.groupBy(*keys).agg(F.min("doc_id").alias("stands"))
+    groups = tables.written(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+
+    def packed(t: pa.Table) -> pa.Table:
+        data = np.stack([t.column("stands").to_numpy(), t.column("text_hash").to_numpy(), t.column("node").to_numpy()])
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "kind": pa.array([0], pa.int32()), "bucket": pa.array([-1], pa.int32()), "data": pa.array([data.tobytes()], pa.binary()), "counts": pa.array([b""], pa.binary())})
+
+    stands = groups.select(chunk_of("stands").alias("chunk"), F.coalesce("stands", F.lit(int(C.NO_ID))).alias("stands"), "text_hash", "node").groupBy("chunk").applyInArrow(packed, SIDE)
+    stands = tables.written(stands, "stands")
     dealt = C.dealt(docs.select("doc_id", "text"), chunks)
     asked = dealt.groupBy("chunk").cogroup(stands.groupBy("chunk")).applyInArrow(_ask(n, buckets), SIDE)
     counted = asked.groupBy("bucket").applyInArrow(_count, SIDE)
     sets = dealt.groupBy("chunk").cogroup(stands.unionByName(counted).groupBy("chunk")).applyInArrow(_keep(n, buckets, percent), SETS)
-    sets = C.written(spark, sets, "jaccard-sets")
-    held = sets.where("grams is not null").select("chunk", "doc_id", "n_shingles", "grams")
-    prefix = C.written(spark, held.mapInArrow(_prefixes(percent), "gram long, node long, n long, rest long"), "jaccard-prefixes")
+    sets = tables.written(sets, "sets")
+    tables.drop("stands")
+    held = sets.where("grams is not null").select("chunk", "node", "n_shingles", "grams")
+    prefix = tables.written(held.mapInArrow(_prefixes(percent), "gram long, node long, n long, rest long"), "prefixes")
     # only groups of two or more
-    many = C.written(spark, prefix.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1"), "jaccard-prefix-groups")
-    prefix = C.written(spark, prefix.join(many, "gram"), "jaccard-shared-prefixes")
-    fragments = int(max(LEAST, size // CHUNK_BYTES))
-    segments = C.written(spark, held.groupBy("chunk").applyInArrow(_segments(fragments), "fragment int, nodes binary, grams binary"), "jaccard-segments")
-    sizes = held.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
-    labels = C.written(spark, sizes.select("node", F.col("node").alias("label")), "jaccard-nodes")
+    many = prefix.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
+    prefix = tables.written(prefix.join(many, "gram"), "shared")
+    tables.drop("prefixes")
+    fragments = int(chunks)
+    segments = tables.written(held.groupBy("chunk").applyInArrow(_segments(fragments), "fragment int, nodes binary, grams binary"), "segments")
+    labels = tables.written(held.select("node", F.col("node").alias("label")), "nodes")
     # at the first n-gram that two sets share, what follows bounds their overlap; elsewhere the pair is met already
     fits = (100 + percent) * F.least("rx", "ry") >= percent * (F.col("nx") + F.col("ny"))
+    cols = ("x", "y", "nx", "ny")
 
-    def count(pairs: DataFrame) -> DataFrame:
-        """x, y of the pairs that link."""
-        pairs = C.written(spark, pairs.select("x", "y", "nx", "ny").distinct(), "jaccard-pairs")
-        by_chunk = pairs.select(chunk_of("x").alias("chunk"), "x", "y")
+    def join(pairs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """The labels with the links of these pairs."""
+        pairs = tables.written(pairs.select(*cols).distinct(), f"{name}-pairs")
+        by_chunk = pairs.join(held.select(F.col("node").alias("x"), F.col("chunk").alias("of_x")), "x").select(F.col("of_x").alias("chunk"), "x", "y")
         asked = held.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(_ask_fragments(fragments), "fragment int, x binary, y binary")
         parts = segments.groupBy("fragment").cogroup(asked.groupBy("fragment")).applyInArrow(_overlaps, "x long, y long, both long")
         total = parts.groupBy("x", "y").agg(F.sum("both").alias("both"))
-        return total.join(pairs, ["x", "y"]).where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
+        links = total.join(pairs, ["x", "y"]).where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
+        labels = components(tables, links, labels, name)
+        tables.drop(f"{name}-pairs")
+        return labels
 
     # a large group's members meet the one of which the largest share occurs elsewhere
-    member = prefix.where(F.col("members") > FEW).select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
+    large = prefix.where(F.col("members") > FEW)
+    member = large.select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
     central = F.struct(F.col("rest") / F.col("n"), -F.col("node"))
-    pivots = prefix.where(F.col("members") > FEW).groupBy("gram").agg(F.max_by(F.struct("node", "n", "rest"), central).alias("p"))
-    pivots = C.written(spark, pivots.select("gram", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.rest").alias("ry")), "jaccard-pivots")
+    pivots = large.groupBy("gram").agg(F.max_by(F.struct("node", "n", "rest"), central).alias("p")).select("gram", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.rest").alias("ry"))
     first = member.join(pivots, "gram").where((F.col("x") != F.col("y")) & fits)
     few = prefix.where(F.col("members") <= FEW).groupBy("gram").agg(F.collect_list(F.struct("node", "n", "rest")).alias("g"))
     few = few.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where("a.node > b.node")
     few = few.select(F.col("a.node").alias("x"), F.col("a.n").alias("nx"), F.col("a.rest").alias("rx"), F.col("b.node").alias("y"), F.col("b.n").alias("ny"), F.col("b.rest").alias("ry")).where(fits)
-    cols = ("x", "y", "nx", "ny")
-    labels = components(spark, count(first.select(*cols).union(few.select(*cols))), labels)
+    labels = join(first.select(*cols).union(few.select(*cols)), labels, "first")
 
-    # what is left: pairs of a large group whose documents are still apart
-    large = prefix.where(F.col("members") > FEW)
+    # what is left: pairs of a large group whose nodes are still apart
     for turn in range(PIVOTS + 1):
-        split = large.join(labels, "node")
-        apart = C.written(spark, split.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram", "lo"), "jaccard-apart")
-        if apart.limit(1).count() == 0:
+        now = large.join(labels, "node")
+        apart = now.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("left")).where("lo < hi").select("gram", "lo", "left")
+        apart = tables.written(apart, f"apart{turn}")
+        work = apart.agg(F.sum(F.col("left").cast("double") * F.col("left"))).first()[0]
+        if not work:
             break
-        split = C.written(spark, split.join(apart, "gram"), "jaccard-split")
-        one_side = split.select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), "label", "lo")
-        if turn < PIVOTS:  # all other components' members meet one of the first component, chosen anew each time
-            one = split.where("label = lo").groupBy("gram").agg(F.min_by(F.struct("node", "n", "rest"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
-            one = C.written(spark, one.select("gram", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.rest").alias("ry")), "jaccard-pick")
-            pairs = one_side.where("label > lo").join(one, "gram").where(fits)
+        now = now.join(apart, "gram")
+        if turn < PIVOTS and work > EASY:  # all other components' members meet one of the first component, chosen anew each time
+            one = now.where("label = lo").groupBy("gram").agg(F.min_by(F.struct("node", "n", "rest"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
+            one = one.select("gram", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.rest").alias("ry"))
+            pairs = now.where("label > lo").select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx")).join(one, "gram").where(fits)
+            labels = join(pairs, labels, f"turn{turn}")
         else:
-            other = split.select("gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("label").alias("other"))
-            pairs = one_side.join(other, "gram").where((F.col("label") > F.col("other")) & fits)
-        labels = components(spark, count(pairs.select(*cols)), labels)
-
-    named = groups.where("stands is not null").select(*keys, "stands").join(labels.select(F.col("node").alias("stands"), "label"), "stands", "left").select(*keys, F.coalesce("label", "stands").alias("component"))
-    named = C.written(spark, named, "jaccard-names")
-    ids = rows.join(named, list(keys), "left").groupBy("doc_id").agg(F.min("component").alias("component"))
-    ids = C.written(spark, ids, "jaccard-ids")
-    out = sets.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+            labels = join(met(now, percent), labels, f"turn{turn}")
+            break
+
+    tables.drop("segments", "shared")
+    named = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sets.select("node", "n_shingles"), "node")
+    named = tables.written(named, "named")
+    lowest = named.groupBy("label").agg(F.min("stands").alias("component_id"))
+    named = named.join(lowest, "label").select(*keys, "label", "n_shingles", "component_id")
+    out = rows.join(named, list(keys))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), *(["label", *(F.col(f"c_{c}").alias(c) for c in carry)] if carry else []))
+
+
+def one_each(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of smallest id (null last), then of smallest hash of all columns.
+
+    Rows without n-grams all stay.
+    """
+    tables = C.Tables(docs.sparkSession, "jaccard-rows")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("key"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
+    own = tables.written(own, "rows")
+    found = tables.written(linked(own, percent, n, carry=("key", "tie")), "found")
+    best = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "key")).alias("best")).select("best.key")
+    stay = best.union(found.where("n_shingles = 0").select("key"))
+    return own.join(stay, "key", "left_semi").select("row.*")
