@@ -3,19 +3,25 @@
 Documents are dealt into chunks by a hash of their id, buckets hold minimiser values.
 
 1. Each chunk takes the minimiser (smallest hashed gram of m units) of each of its windows and sends the
-   distinct ones, packed, to their buckets.
-2. A bucket answers with one bit for each: does it occur in two documents anywhere?
+   distinct ones, packed, to their buckets, with the size of what it has of each.
+2. A bucket answers with two bits for each: does it occur in two documents anywhere, and is it hot, that is,
+   are there more than HOT runs of it?
 3. Windows whose minimiser occurs once cannot repeat. Runs of consecutive windows with one repeated
    minimiser (super-k-mers) go, packed as one string, to the minimiser's bucket; of equal strings in a
-   chunk only those of its smallest document go, and the others are known to be repeats at once.
+   chunk only those of its smallest document go, and the others are known to be repeats at once. A run of a hot
+   minimiser is cut in two, the windows that hold all of the (k - m) / 2 units before it and those that
+   hold all of as many after it, and each part goes by the minimiser and these units: equal windows hold
+   equal ones, so they still meet, but a phrase with many surroundings is spread over all buckets.
 4. The bucket finds for each distinct window its smallest document, exactly, and answers with a bit for
    each window of each string: does it start in a smaller document?
 5. Chunks join the answers and cover the units.
 
 A minimiser that a third of all documents hold reaches its bucket once from each chunk in step 1 and with
-the distinct strings of the chunks in step 3, so no task gathers a row for each document of a group. All
-that travels is keyed by chunk or bucket; every step is a pure function
-of rows that are there again after an executor is lost.
+the distinct strings of the chunks in step 3, so no task gathers a row for each document of a group. A message is
+what one chunk has for one bucket, so there are never more messages than minimisers or strings in them, and
+no more than chunks times buckets; all that travels is in proportion to the text. Every step is a pure function
+of rows that are there again after an executor is lost. A document has fewer than 2^28 units; a longer one
+raises an error.
 """
 
 from __future__ import annotations
@@ -32,13 +38,41 @@ from . import common as C
 
 INDEX_BITS = np.uint64(28)
 SLICE_UNITS = 1 << 19
-CHUNK_BYTES, BUCKET_BYTES, LEAST = 2 << 20, 1 << 20, 128
+#: Of the files' bytes; a chunk's texts are some four times as large in memory. LEAST keeps all cores busy on small tables.
+CHUNK_BYTES, BUCKET_BYTES, LEAST = 2 << 20, 1 << 20, 64
 FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
 
+LOW = np.uint64(63)  # bits of a minimiser that hold something else in step 1
+HOT = 4096
+
 REPLY = "chunk int, bucket int, bits binary"
-REQUEST = "chunk int, bucket int, ids binary, rows binary, starts binary, counts binary, grams binary, places binary, sizes binary, data binary"
-ANSWER = "chunk int, bucket int, rows binary, starts binary, counts binary, masks binary"
+MESSAGE = "chunk int, bucket int, whole boolean, data binary"
+#: The arrays of a message, in order; of one that isn't whole only the first three.
+FIELDS = (("rows", np.int32), ("starts", np.int32), ("counts", np.uint8), ("ids", np.int64), ("grams", np.uint64), ("places", np.uint8), ("sizes", np.int32))
+ANSWERED = (*FIELDS[:3], ("masks", np.uint64))
+
+
+def packed(arrays: list[np.ndarray], rest: bytes = b"") -> bytes:
+    return len(arrays[0]).to_bytes(4, "little") + b"".join(a.tobytes() for a in arrays) + rest
+
+
+def unpacked(data: bytes, fields) -> tuple[list[np.ndarray], bytes]:
+    n, at, out = int.from_bytes(data[:4], "little"), 4, []
+    for _, kind in fields:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out, data[at:]
+
+
+def messages(chunks: list[int], buckets: list[int], whole: list[bool], data: list[bytes]) -> pa.Table:
+    return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "whole": pa.array(whole, pa.bool_()), "data": pa.array(data, pa.binary())})
+
+
+def grid(docs: DataFrame) -> tuple[int, int]:
+    """Chunks of documents and buckets of hashes for a table of this size."""
+    size = C.input_bytes(docs)
+    return int(max(LEAST, size // CHUNK_BYTES)), int(max(LEAST, size // BUCKET_BYTES))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,6 +161,8 @@ def super_kmers(u: Units, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if len(cut.codes) < u.k:
         return none, none, none, np.zeros(0, np.uint64), none
+    if len(cut.codes) >> int(INDEX_BITS):
+        raise ValueError("a document has 2^28 units or more")
     gram = grams_of(cut.codes, u.m)
     key = ((gram >> INDEX_BITS) << INDEX_BITS) | np.arange(len(gram), dtype=np.uint64)
     width, span, low = u.k - u.m + 1, 1, key
@@ -151,20 +187,22 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def minimisers(chunk: C.Chunk, u: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct minimisers of a chunk, and whether two of its documents hold each."""
+def minimisers(chunk: C.Chunk, u: Units) -> np.ndarray:
+    """Sorted distinct minimisers of a chunk; in the low bits whether two of its documents hold each, and the bit length of how many runs it has."""
     found, docs = [], []
     for at, data, bounds in chunk.slices(SLICE_UNITS):
         doc, _, _, gram, _ = super_kmers(u, cut_units(u, data, bounds))
-        found.append(gram & ~np.uint64(1))
+        found.append(gram & ~LOW)
         docs.append(chunk.ids[doc + at])
     gram, ids = np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate([np.zeros(0, np.int64), *docs])
     if not len(gram):
-        return gram, np.zeros(0, bool)
+        return gram
     order = np.argsort(gram, kind="stable")
     gram, ids = gram[order], ids[order]
     head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-    return gram[head], np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
+    several = np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
+    size = np.frexp(np.diff(np.r_[head, len(gram)]))[1].astype(np.uint64)
+    return gram[head] | size << np.uint64(1) | several
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,8 +214,7 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 def _ask(u: Units, buckets: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         C.release()
-        gram, several = minimisers(C.Chunk(table), u)
-        gram = gram | several.astype(np.uint64)
+        gram = minimisers(C.Chunk(table), u)
         b, lo, hi = _by_bucket(gram, buckets)
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(b), pa.int32()), "bucket": pa.array(b, pa.int32()), "bits": pa.array([gram[x:y].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary())})
 
@@ -185,49 +222,67 @@ def _ask(u: Units, buckets: int) -> Callable:
 
 
 def _reply(table: pa.Table) -> pa.Table:
-    """Which minimisers of each chunk occur in two documents."""
+    """Which minimisers of each chunk occur in two documents, and (where any is) which are hot."""
     parts = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
     gram = np.concatenate(parts)
-    value = gram >> np.uint64(1)
+    value = gram & ~LOW
     order = np.argsort(value, kind="stable")
     ordered = value[order]
-    same = ordered[1:] == ordered[:-1]
-    many = np.zeros(len(gram), bool)
-    many[order[1:][same]] = many[order[:-1][same]] = True
+    head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    size = np.diff(np.r_[head, len(gram)])
+    runs = np.add.reduceat(1 << ((gram[order] & LOW) >> np.uint64(1)).astype(np.int64) >> 1, head)
+    many, hot = np.empty(len(gram), bool), np.empty(len(gram), bool)
+    many[order], hot[order] = np.repeat(size > 1, size), np.repeat(runs > HOT, size)
     many |= (gram & np.uint64(1)).astype(bool)
     cuts = np.cumsum([0, *map(len, parts)])
-    bits = [np.packbits(many[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    bits = [np.packbits(many[a:b]).tobytes() + (np.packbits(hot[a:b]).tobytes() if hot[a:b].any() else b"") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
+def _halves(u: Units, codes: np.ndarray, window: np.ndarray, n: np.ndarray, g: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Run, first window, windows and key of the two parts of runs of hot minimisers."""
+    side = (u.k - u.m) // 2
+    near = grams_of(codes, side)
+    left = np.clip(p - side - window + 1, 0, n)
+    first, second = np.flatnonzero(left > 0), np.flatnonzero(left < n)
+    key = np.r_[mix(g[first] ^ near[p[first] - side]), mix(g[second] ^ mix(near[p[second] + u.m]))] & ~LOW
+    return np.r_[first, second], np.r_[window[first], (window + left)[second]], np.r_[left[first], (n - left)[second]], key
+
+
 def _requests(u: Units, buckets: int) -> Callable:
     def run(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        empty = pa.table({n: pa.array([], t) for n, t in zip([f.split()[0] for f in REQUEST.split(", ")], [pa.int32()] * 2 + [pa.binary()] * 8, strict=True)})
         if not docs.num_rows or not replies.num_rows:
-            return empty
+            return messages([], [], [], [])
         chunk = C.Chunk(docs)
         order = np.argsort(replies.column("bucket").to_numpy())
         bits = replies.column("bits").to_pylist()
-        packed = [bits[i] for i in order.tolist()]
         cuts, row, first, count, gram, place, sizes, data = [], [], [], [], [], [], [], []
         # one pass finds all runs, then the replies (aligned with the sorted distinct minimisers) choose
         for at, raw, bounds in chunk.slices(SLICE_UNITS):
             cut = cut_units(u, raw, bounds)
-            cuts.append((at, raw, cut, super_kmers(u, cut)))
+            cuts.append((at, raw, bounds, cut, super_kmers(u, cut)))
             cut.codes = None
-        every = np.unique(np.concatenate([k[3] & ~np.uint64(1) for *_, k in cuts]))
+        every = np.unique(np.concatenate([k[3] & ~LOW for *_, k in cuts]))
         _, lo, hi = _by_bucket(every, buckets)
         if not len(every):
-            return empty
-        many = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8))[: y - x] for p, x, y in zip(packed, lo, hi, strict=True)]).astype(bool)
-        many = every[many]
-        for at, raw, cut, (doc, window, n, g, p) in cuts:
-            g = g & ~np.uint64(1)
-            if not len(many):
-                continue
-            spot = np.minimum(np.searchsorted(many, g), len(many) - 1)
-            hit = many[spot] == g
-            doc, window, n, g, p = doc[hit], window[hit], n[hit], g[hit], p[hit]
+            return messages([], [], [], [])
+        many, hot = np.zeros(len(every), bool), np.zeros(len(every), bool)
+        for i, x, y in zip(order.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            own = np.frombuffer(bits[i], np.uint8)
+            size = -(-(y - x) // 8)
+            many[x:y] = np.unpackbits(own[:size])[: y - x]
+            if len(own) > size:
+                hot[x:y] = np.unpackbits(own[size:])[: y - x]
+        for at, raw, bounds, cut, (doc, window, n, g, p) in cuts:
+            g = g & ~LOW
+            spot = np.searchsorted(every, g)
+            hit = many[spot]
+            doc, window, n, g, p, burning = doc[hit], window[hit], n[hit], g[hit], p[hit], hot[spot[hit]]
+            if burning.any():
+                halves = np.flatnonzero(burning)
+                part, begin, size, sub = _halves(u, cut_units(u, raw, bounds).codes, window[halves], n[halves], g[halves], p[halves])
+                doc, p = np.r_[doc[~burning], doc[halves][part]], np.r_[p[~burning], p[halves][part]]
+                window, n, g = np.r_[window[~burning], begin], np.r_[n[~burning], size], np.r_[g[~burning], sub]
             last = window + n - 1 + u.k  # unit after the last window
             if u.words:
                 a, b = (cut.starts[window], cut.ends[last - 1]) if len(window) else (window, window)
@@ -251,8 +306,8 @@ def _requests(u: Units, buckets: int) -> Callable:
             place.append(p - window)
             sizes.append(b - a)
             data.append(flat)
-        if not row or not sum(map(len, row)):
-            return empty
+        if not sum(map(len, row)):
+            return messages([], [], [], [])
         row, first, count, place, sizes = (np.concatenate(x).astype(np.int64) for x in (row, first, count, place, sizes))
         gram, data = np.concatenate(gram), np.concatenate(data)
         begins = np.cumsum(sizes) - sizes
@@ -267,25 +322,14 @@ def _requests(u: Units, buckets: int) -> Callable:
         order = np.flatnonzero(goes)
         order = order[np.argsort(gram[order], kind="stable")]
         b, lo, hi = _by_bucket(gram[order], buckets)
-        out = {k: [] for k in ("bucket", "ids", "rows", "starts", "counts", "grams", "places", "sizes", "data")}
-
-        def add(bucket: int, at: np.ndarray, whole: bool) -> None:
-            out["bucket"].append(bucket)
-            out["rows"].append(row[at].astype(np.int32).tobytes())
-            out["starts"].append(first[at].astype(np.int32).tobytes())
-            out["counts"].append(count[at].astype(np.uint8).tobytes())
-            out["ids"].append(own[at].tobytes() if whole else b"")
-            out["grams"].append(gram[at].tobytes() if whole else b"")
-            out["places"].append(place[at].astype(np.uint8).tobytes() if whole else b"")
-            out["sizes"].append(sizes[at].astype(np.int32).tobytes() if whole else b"")
-            out["data"].append(C.squeeze(data[C.ragged(begins[at], sizes[at])]) if whole else b"")
-
-        for bucket, x, y in zip(b.tolist(), lo, hi, strict=True):
-            add(bucket, order[x:y], True)
+        columns = dict(rows=row, starts=first, counts=count, ids=own, grams=gram, places=place, sizes=sizes)
+        fields = lambda at, kinds: [columns[c][at].astype(kind) for c, kind in kinds]
+        out = [packed(fields(order[x:y], FIELDS), C.squeeze(data[C.ragged(begins[order[x:y]], sizes[order[x:y]])])) for x, y in zip(lo, hi, strict=True)]
+        to, whole, me = b.tolist(), [True] * len(b), key[0].as_py()
         if len(stay):  # known without the bucket's answer, which passes them on
-            add(key[0].as_py() % buckets, stay, False)
-        n = len(out["bucket"])
-        return pa.table({"chunk": pa.array([key[0].as_py()] * n, pa.int32()), "bucket": pa.array(out.pop("bucket"), pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+            out.append(packed(fields(stay, FIELDS[:3])))
+            to, whole = [*to, me % buckets], [*whole, False]
+        return messages([me] * len(out), to, whole, out)
 
     return run
 
@@ -310,23 +354,27 @@ Resolve = Callable[[Units, Strings], np.ndarray]
 def _answers(u: Units, resolve: Resolve) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         C.release()
-        known = table.filter(pc.equal(pc.binary_length(table.column("ids")), 0))
-        table = table.filter(pc.greater(pc.binary_length(table.column("ids")), 0))
-        passed = pa.table({c: known.column(c) for c in ("chunk", "bucket", "rows", "starts", "counts")} | {"masks": pa.nulls(known.num_rows, pa.binary())})
+        known = table.filter(pc.invert(table.column("whole")))
+        table = table.filter(table.column("whole"))
         if not table.num_rows:
-            return passed
-        get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        data = np.frombuffer(b"".join(C.unsqueeze(x) for x in table.column("data").to_pylist()), np.uint8)
-        sizes = get("sizes", np.int32).astype(np.int64)
-        counts = get("counts", np.uint8).astype(np.int64)
-        s = Strings(get("ids", np.int64), counts, get("grams", np.uint64), get("places", np.uint8).astype(np.int64), np.cumsum(sizes) - sizes, sizes, data)
+            return known
+        got = [unpacked(x, FIELDS) for x in table.column("data").to_pylist()]
+        column = {c: np.concatenate([own[i] for own, _ in got]) for i, (c, _) in enumerate(FIELDS[2:], 2)}
+        data = np.frombuffer(b"".join(C.unsqueeze(rest) for _, rest in got), np.uint8)
+        sizes, counts = column["sizes"].astype(np.int64), column["counts"].astype(np.int64)
+        s = Strings(column["ids"], counts, column["grams"], column["places"].astype(np.int64), np.cumsum(sizes) - sizes, sizes, data)
         least = resolve(u, s)
         gone = least < np.repeat(s.ids, counts)
         bit = np.uint64(1) << (np.arange(len(gone)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
         masks = np.add.reduceat(np.where(gone, bit, np.uint64(0)), np.cumsum(counts) - counts)
-        parts = np.cumsum([0, *(len(x) // 4 for x in table.column("rows").to_pylist())])
-        answered = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "rows": table.column("rows"), "starts": table.column("starts"), "counts": table.column("counts"), "masks": pa.array([masks[a:b].tobytes() for a, b in zip(parts[:-1], parts[1:], strict=True)], pa.binary())})
-        return pa.concat_tables([answered, passed])
+        parts, answers, chunks, buckets = np.cumsum([0, *(len(own[0]) for own, _ in got)]), [], [], []
+        for (own, _), a, b, chunk, bucket in zip(got, parts[:-1], parts[1:], table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), strict=True):
+            some = masks[a:b] != 0
+            if some.any():
+                answers.append(packed([*(x[some] for x in own[:3]), masks[a:b][some]]))
+                chunks.append(chunk)
+                buckets.append(bucket)
+        return pa.concat_tables([messages(chunks, buckets, [True] * len(answers), answers), known])
 
     return run
 
@@ -334,18 +382,16 @@ def _answers(u: Units, resolve: Resolve) -> Callable:
 def _covered(u: Units, answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
     """Which units of a chunk (documents one after another) lie in a window that starts in a smaller document."""
     edge = np.zeros(int(bounds[-1]) + 1, np.int64)
-    for rows, starts, counts, masks in zip(*(answers.column(c).to_pylist() for c in ("rows", "starts", "counts", "masks")), strict=True):
-        at = bounds[np.frombuffer(rows, np.int32)] + np.frombuffer(starts, np.int32)
-        count = np.frombuffer(counts, np.uint8).astype(np.int64)
-        if masks is None or not len(masks):
+    for whole, data in zip(answers.column("whole").to_pylist(), answers.column("data").to_pylist(), strict=True):
+        (rows, starts, counts, *masks), _ = unpacked(data, ANSWERED if whole else FIELDS[:3])
+        at = bounds[rows] + starts
+        if not whole:
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + count - 1 + u.k, -1)
+            np.add.at(edge, at + counts.astype(np.int64) - 1 + u.k, -1)
             continue
-        mask = np.frombuffer(masks, np.uint64)
-        some = np.flatnonzero(mask)
-        bits = np.unpackbits(mask[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(np.ascontiguousarray(masks[0]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         which, bit = np.nonzero(bits)
-        begin = at[some][which] + bit
+        begin = at[which] + bit
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + u.k, -1)
     return np.cumsum(edge)[:-1] > 0
@@ -353,13 +399,12 @@ def _covered(u: Units, answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
 
 def without_repeats(docs: DataFrame, u: Units, resolve: Resolve, out: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """out(data, bounds, unit bounds, covered) of each chunk, after its doc_id column. docs: doc_id, text without nulls."""
-    size = C.input_bytes(docs)
-    chunks, buckets = max(LEAST, size // CHUNK_BYTES), max(LEAST, size // BUCKET_BYTES)
+    chunks, buckets = grid(docs)
     dealt = C.dealt(docs, chunks)
     asked = dealt.groupBy("chunk").applyInArrow(_ask(u, buckets), REPLY)
     replies = asked.groupBy("bucket").applyInArrow(_reply, REPLY)
-    requests = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_requests(u, buckets), REQUEST)
-    answers = requests.groupBy("bucket").applyInArrow(_answers(u, resolve), ANSWER)
+    requests = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_requests(u, buckets), MESSAGE)
+    answers = requests.groupBy("bucket").applyInArrow(_answers(u, resolve), MESSAGE)
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:

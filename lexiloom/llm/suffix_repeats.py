@@ -35,19 +35,23 @@ class Hashes:
 
     def agree(self, p: np.ndarray, q: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes at p and q, up to limit."""
-        low = np.zeros(len(p), np.int64)
         if not len(p):
-            return low
+            return np.zeros(0, np.int64)
         sp, sq, bp, bq = self.sums[p], self.sums[q], self.back[p], self.back[q]
-        step = 1 << int(limit.max()).bit_length()
-        while step:
-            to = low + step
-            ok = to <= limit
-            t = np.where(ok, to, 0)
-            same = (self.sums[p + t] - sp) * bp == (self.sums[q + t] - sq) * bq
-            low = np.where(ok & same, to, low)
-            step >>= 1
-        return low
+        same = lambda i, t: (self.sums[p[i] + t] - sp[i]) * bp[i] == (self.sums[q[i] + t] - sq[i]) * bq[i]
+        every = slice(None)
+        out = np.where(same(every, limit), limit, 0)  # mostly all agrees; the others are searched
+        rest = np.flatnonzero((out == 0) & (limit > 0))
+        if len(rest):
+            p, q, sp, sq, bp, bq, limit = p[rest], q[rest], sp[rest], sq[rest], bp[rest], bq[rest], limit[rest]
+            low, step = np.zeros(len(rest), np.int64), 1 << int(limit.max()).bit_length()
+            while step:
+                ok = low + step <= limit
+                to = np.where(ok, low + step, 0)
+                low = np.where(ok & same(every, to), to, low)
+                step >>= 1
+            out[rest] = low
+        return out
 
     def less(self, p: np.ndarray, q: np.ndarray, sp: np.ndarray, sq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether the suffix of sp bytes at p comes before that of sq bytes at q, and whether they are equal."""
