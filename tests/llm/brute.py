@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -88,11 +89,15 @@ def pii(docs):
 
 
 def exact(docs):
+    """One row of each group stays; docs may repeat ids."""
     groups = defaultdict(list)
-    for i, t in docs:
-        groups[BLANK.sub("", t or "")].append((-len(t or ""), i))
-    keep = {k: min(v)[1] for k, v in groups.items()}
-    return [(i, keep[p], len(groups[p]), i == keep[p], sha(p)) for i, t in docs for p in [BLANK.sub("", t or "")]]
+    for n, (i, t) in enumerate(docs):
+        groups[BLANK.sub("", t or "")].append((-len(t or ""), i is None, i or 0, n))
+    out = []
+    for plain, rows in groups.items():
+        best = min(rows)
+        out += [(docs[r[3]][0], docs[best[3]][0], len(rows), r is best, sha(plain)) for r in rows]
+    return out
 
 
 def words(text):
@@ -162,16 +167,101 @@ def components(docs, k=5):
                 up[root(n)] = root(m)
     low = {}
     for n, (i, _) in enumerate(sets):
-        low[root(n)] = min(low.get(root(n), i), i)
-    return [(i, len(s), low[root(n)]) for n, (i, s) in enumerate(sets)]
+        low[root(n)] = min((x for x in (low.get(root(n)), i) if x is not None), default=None)
+    return [(i, len(s), low[root(n)] if s else i) for n, (i, s) in enumerate(sets)]
 
 
 def top_products(vectors, k=20, every=20):
-    """vectors: (vec_id, list)."""
-    ok = [(i, np.floor(64 * np.array(v, np.float64)).astype(np.int64)) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    """vectors: (vec_id, list); each row is a vector of its own."""
+    ok = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, x in ok:
+    for n, (q, x) in enumerate(ok):
         if q % every == 0:
-            best = sorted((-int(x @ y), i) for i, y in ok if i != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for m, (i, y) in enumerate(ok) if m != n)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
+
+
+# -- quality: features and training, one number at a time ------------------------------------------------
+
+M64 = (1 << 64) - 1
+
+
+def mix64(x):
+    x ^= x >> 31
+    x = x * 0xD6E8FEB86659FD93 & M64
+    x ^= x >> 32
+    x = x * 0xD6E8FEB86659FD93 & M64
+    return x ^ x >> 29
+
+
+def word_code(w):
+    factor = 0x9E3779B97F4A7C15 | 1
+    return mix64((sum(mix64(b + 1) * pow(factor, i, 1 << 64) for i, b in enumerate(w)) + len(w)) & M64)
+
+
+def word_shape(w, same):
+    kind = [1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b > 127 else 0 for b in w]
+    upper, lower, digit, marks = kind.count(2), kind.count(1), kind.count(3), kind.count(0)
+    return min(len(w), 15) | min(upper, 3) << 4 | min(lower, 1) << 8 | min(digit, 2) << 9 | min(marks, 3) << 12 | same << 16 | (w[-1] if kind[-1] == 0 else 0) << 20 | (kind[0] == 2) << 30
+
+
+def quality_features(text, places=1 << 18):
+    """{place: share} of a text."""
+    own = [w.encode() for w in words(text)]
+    codes = [word_code(w) for w in own]
+    shapes = [word_shape(w, int(k > 0 and codes[k] == codes[k - 1])) for k, w in enumerate(own)]
+    seeds, out = (0x51ED270B, 0x2545F491, 0x9E3779B9, 0x85EBCA6B), defaultdict(float)
+    rows = ([c ^ seeds[0] for c in codes], [s ^ (seeds[1] << 33 & M64) for s in shapes])
+    for k in range(len(own)):
+        for r in (0, 1):
+            pair = (rows[r][k] + rows[r][k - 1] * 0xC2B2AE3D27D4EB4F) & M64 if k else 1
+            for h in (rows[r][k], pair ^ (seeds[2 + r] << 31 & M64)):
+                out[mix64(h) & places - 1] += 8 / len(own)
+    return out
+
+
+def quality_scores(train, texts, epochs=4, alpha=0.5, beta=1.0, l1=1e-4, l2=1e-3):
+    """train: (features, label) in the order of training; the score of each text."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(j):
+        return 0.0 if abs(z[j]) <= l1 else -(z[j] - math.copysign(l1, z[j])) / ((beta + math.sqrt(n[j])) / alpha + l2)
+
+    def chance(x):
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(weight(j) * v for j, v in x.items())))))
+
+    for k in range(epochs):
+        for i in np.random.default_rng(k).permutation(len(train)):
+            x, label = {**train[i][0], -1: 1.0}, train[i][1]
+            miss, before = chance(x) - label, {j: weight(j) for j in x}
+            for j, v in x.items():
+                g = miss * v
+                z[j] += g - (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / alpha * before[j]
+                n[j] += g * g
+    return [chance({**quality_features(t), -1: 1.0}) for t in texts]
+
+
+# -- weak supervision: all patterns at once ---------------------------------------------------------------
+
+
+def span_model(counts, kinds=5, labelers=4, rounds=50, epochs=300):
+    """Posterior and classifier score of each pattern (kind, votes, size, n)."""
+    kind = np.eye(kinds)[[c[0] for c in counts]]
+    votes, size, n = np.array([c[1] for c in counts], float), np.array([c[2] for c in counts]) / 20, np.array([c[3] for c in counts], float)
+    start = np.array([[0.05] + [0.35] * (labelers - 1), [0.95] + [0.85] * (labelers - 1)])  # class, labeler
+    rate = start.copy()
+    prior = np.full(kinds, 0.5)
+    for _ in range(rounds):
+        like = [np.prod(np.where(votes > 0, rate[y], np.where(votes < 0, 1 - rate[y], 1)), axis=1) for y in (0, 1)]
+        p = kind @ prior
+        post = np.where(votes[:, 0] == 1, 1.0, p * like[1] / (p * like[1] + (1 - p) * like[0]))
+        prior = (kind.T @ (post * n) + 5) / (kind.T @ n + 10)
+        for y, share in ((0, n * (1 - post)), (1, n * post)):
+            rate[y] = (share @ (votes > 0) + 20 * start[y]) / (share @ (votes != 0) + 20)
+    x = np.c_[votes, kind, size]
+    w = np.r_[np.log(rate[1] * (1 - rate[0]) / (rate[0] * (1 - rate[1]))) / 2, np.log(prior / (1 - prior)), 0]
+    alike = n / (kind @ (kind.T @ n)) / (kind.sum(0) > 0).sum()
+    for _ in range(epochs):
+        w = w + x.T @ (alike * (post - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))) - 1e-4 * w
+    return post, 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

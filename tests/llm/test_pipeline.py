@@ -7,6 +7,8 @@ import random
 import brute
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lexiloom.llm import quality
 from lexiloom.llm.queries import tokenizer
 
@@ -42,3 +44,48 @@ def test_stages(spark, tmp_path):
             assert all(r["n_chars"] == len(r["text"]) for r in at.collect())
     brute.check_packing(sorted(expected.items()), [tuple(r) for r in at.collect()], tokenizer("byte_bpe_50k.json"))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(expected)
+
+
+def odd(spark, rows):
+    """Rows with columns whose names are those of inner ones."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit(c) for c in ("row", "key", "tie", "found", "spans", "masked", "label", "best", "size", "c_text", "_text", "chars", "plain")})
+
+
+ROWS = [
+    (1, "same text", "en", "a", 9), (2, "same text", "en", "b", 9), (2, "other text", "en", "c", 10), (None, "same  text", "de", "d", 10), (None, None, "fr", "e", None),
+    (3, "", "en", "f", 0), (4, " ", "en", "g", 1), (5, "mail a@b.com", "en", "h", 12), (5, "mail a@b.com", "en", "h", 12), (5, "mail a@b.com", None, None, None), (6, "one two three four five six seven", "es", "i", 32), (None, "One two three four five  six seven", "es", "j", 32), (7, "x" * 100_000, "en", "k", 100_000),
+]
+
+
+def test_stages_on_odd_rows(spark):
+    df = odd(spark, ROWS)
+    plain = lambda out: sorted(((r["doc_id"] is None, r["doc_id"], r["text"] or "", str(r["source"])) for r in out.collect()), key=str)
+    kept = corpus_pipeline.drop_copies(spark, df, "")
+    assert kept.columns == df.columns and all(r["_text"] == "_text" and r["row"] == "row" for r in kept.collect())
+    got = kept.collect()
+    # the longest of equal texts stays though its id is null; blank, empty and null texts are one group; the second row of id 2 is its own
+    assert sorted(r["source"] or "" for r in got if "@" not in (r["text"] or "")) == ["c", "d", "g", "i", "j", "k"]
+    assert sum("@" in (r["text"] or "") for r in got) == 1 and len(got) == len({brute.BLANK.sub("", r[1] or "") for r in ROWS})
+    near = corpus_pipeline.drop_near_copies(spark, df, "")
+    rows = near.collect()
+    assert near.columns == df.columns
+    # equal words are near: ids come before null, and of equal ids one row stays; rows without words all stay
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in rows) == sorted([(False, 1, "same text"), (False, 2, "other text"), (True, 0, ""), (False, 3, ""), (False, 4, " "), (False, 5, "mail a@b.com"), (False, 6, ROWS[10][1]), (False, 7, "x" * 100_000)])
+    masked = corpus_pipeline.mask_personal_data(spark, df, "")
+    assert masked.columns == df.columns and masked.count() == len(ROWS)
+    assert plain(masked) == sorted(((r[0] is None, r[0], (r[1] or "").replace("a@b.com", "[EMAIL]"), str(r[3])) for r in ROWS), key=str)
+    assert corpus_pipeline.pack(spark, df, "").agg(F.countDistinct("doc_id")).first()[0] == 7
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    none = odd(spark, ROWS[:1]).where("false")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_quality_stage_keeps_rows_as_they_are(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = odd(spark, ROWS)  # without labels every score is 1/2
+    assert sorted(map(str, corpus_pipeline.keep_good(spark, df, str(tmp_path)).collect())) == sorted(map(str, df.collect()))
