@@ -16,32 +16,49 @@ from lexiloom.llm.queries import tokenizer
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """The rows that the quality classifier doesn't reject, as they are.
+
+    A null or empty text has the score of the bias alone; a null id or a repeated one changes nothing; an
+    empty table gives no rows; other columns come along, whatever their names.
+    """
     return quality.accepted(docs, C.table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that repeat an id and a text are one."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    return one.select(*docs.columns)
+    """One row of each group of equal texts: the longest original, then the smallest id (null last), then the smallest hash of the row.
+
+    Null, empty and blank texts are one group; rows are told apart by themselves, so a repeated or null id
+    loses and keeps nothing; of rows that are equal in all columns one stays; an empty table gives no rows.
+    """
+    return exact_dedup.kept_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies."""
-    kept = jaccard_join.linked(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near copies: the smallest id (null last), then the smallest hash of the row.
+
+    Rows without words are near to nothing and stay; rows are told apart by themselves, so a repeated or
+    null id loses and keeps nothing; an empty table gives no rows.
+    """
+    return jaccard_join.one_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its personal data replaced by the kind in brackets."""
-    found = pii.personal_spans(docs, keep=tuple(docs.columns))
-    text = pii.masked(F.col("c_text"), F.col("spans"))
-    return found.withColumn("c_text", text).select(*(F.length("c_text").cast("long").alias(c) if c == "n_chars" else F.col(f"c_{c}").alias(c) for c in docs.columns))
+    """Every row, with its personal data replaced by the kind in brackets, and `n_chars` (if there) counted again.
+
+    A null text stays null, an empty one empty; repeated rows stay repeated; an empty table gives no rows;
+    other columns stay as they are, whatever their names.
+    """
+    found = pii.personal_spans(docs, keep=True).withColumn("masked", pii.masked(F.col("row.text"), F.col("spans")))
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    return found.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens.
+
+    A null or empty text is its end id alone; repeated rows and null ids are documents of their own; an empty
+    table gives no rows; other columns are left behind.
+    """
     return packing.packed(docs, tokenizer("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
@@ -52,7 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    tables, docs = C.Tables(spark, "pipeline"), C.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = C.written(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = tables.written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
