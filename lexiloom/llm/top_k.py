@@ -208,10 +208,13 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
         need = F.when(F.col("bound").isNull(), float("-inf")).when(F.col("norm") > 0, F.col("bound") / F.col("norm")).when(F.col("bound") > 0, float("inf")).otherwise(float("-inf"))
         queries = queries.withColumn("need", need.cast("double")).withColumn("bound", F.coalesce("bound", lowest))
         cuts = queries.approxQuantile("need", [i / n_blocks for i in range(1, n_blocks)], 0.001) if r and n_blocks > 1 else []
-        span = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("need"))) if cuts else F.lit(0)
-        queries = queries.withColumn("span", span)
-        of_span = queries.groupBy("span").agg(F.ceil(F.count("*") / size).alias("parts"))  # n_blocks rows at most
-        queries = queries.join(F.broadcast(of_span), "span").withColumn("query_block", (F.col("span") + (n_blocks + 1) * F.pmod(F.xxhash64("key"), F.col("parts"))).cast("long"))
+        if cuts:
+            queries = queries.withColumn("span", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("need"))))
+            of_span = queries.groupBy("span").agg(F.ceil(F.count("*") / size).alias("parts"))  # n_blocks rows at most
+            block = F.col("span") + (n_blocks + 1) * F.pmod(F.xxhash64("key"), F.col("parts"))
+            queries = queries.join(F.broadcast(of_span), "span").withColumn("query_block", block.cast("long"))
+        else:
+            queries = queries.withColumn("query_block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("long"))
         queries = tables.written(queries.groupBy("query_block").applyInArrow(pack_queries, "query_block long, low double, keys binary, ids binary, bound binary, norm binary, kind string, v binary"), f"queries{r}")
         lows = queries.select("query_block", "low").collect()  # one row for a block of queries
         reach = F.array(*(F.struct(F.lit(x["query_block"]).cast("long").alias("query_block"), F.lit(x["low"]).alias("low")) for x in lows)) if lows else F.expr("cast(array() as array<struct<query_block:bigint,low:double>>)")
