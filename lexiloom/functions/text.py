@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ BLANK = r"(?U)[\s\x1c-\x1f]"
 #: The default character set in order; index 0 is the blank, characters count from 1.
 DIGITS = "0123456789"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PUNCTUATION = " .,:;!?'\"()[]{}-+/\\@#%&*=_<>|~`$"
+JOINERS = "\u200d\u200c"
 BLOCK = (0x0D80, 0x0DFF)
 
 
@@ -67,9 +71,15 @@ def accuracy_pct(error_rate: Column) -> Column:
     return 100 * accuracy(error_rate)
 
 
+@functools.cache
+def other_digits() -> str:
+    """Digits by their Unicode property that are no decimal digits."""
+    return "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal())
+
+
 def digit_ratio(c: Column) -> Column:
-    """Share of Unicode digits; superscripts count, other numbers don't."""
-    return F.length(F.regexp_replace(c, r"[^\p{Nd}²³¹⁰-⁹₀-₉]", "")) / F.greatest(F.lit(1), F.length(c))
+    """Share of Unicode digits; superscripts and circled ones count, other numbers don't."""
+    return F.length(F.regexp_replace(c, rf"[^\p{{Nd}}{other_digits()}]", "")) / F.greatest(F.lit(1), F.length(c))
 
 
 def looks_like_garbage(c: Column, threshold: float = 0.4) -> Column:
@@ -81,9 +91,9 @@ def with_warning(c: Column, truth: Column, warning: str = "[?] ") -> Column:
     return F.when(truth.isNull() & looks_like_garbage(c), F.concat(F.lit(warning), c)).otherwise(c)
 
 
-def default_characters(punctuation: str) -> list[str]:
+def default_characters(punctuation: str = PUNCTUATION) -> list[str]:
     """Digits, letters, punctuation, the two joiners and the script's block; first occurrence wins."""
-    return list(dict.fromkeys([*DIGITS, *LETTERS, *punctuation, "‍", "‌", *map(chr, range(BLOCK[0], BLOCK[1] + 1))]))
+    return list(dict.fromkeys([*DIGITS, *LETTERS, *punctuation, *JOINERS, *map(chr, range(BLOCK[0], BLOCK[1] + 1))]))
 
 
 def encode(c: Column, chars: list[str]) -> Column:

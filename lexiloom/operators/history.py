@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: The two kinds of log lines.
-TRAIN = r"epoch\s+(\d+)\s*\|\s*train_loss\s*=\s*([0-9.eE+-]+)(?:\s*\|\s*lr\s*=\s*([0-9.eE+-]+))?"
-VALID = r"epoch\s+(\d+)\s*\|\s*val CER\s*=\s*([0-9.eE+-]+)(?:\s*\|\s*val WER\s*=\s*([0-9.eE+-]+)|\s*\|\s*WER\s*=\s*([0-9.eE+-]+))?"
+NUMBER = r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
+TRAIN = rf"(?i)epoch\s+(\d+)\s*\|\s*train_loss\s*=\s*{NUMBER}(?:\s*\|\s*lr\s*=\s*{NUMBER})?"
+VALID = rf"(?i)epoch\s+(\d+)\s*\|\s*val\s+CER\s*=\s*{NUMBER}(?:\s*\|\s*val\s+WER\s*=\s*{NUMBER})?"
 METRICS = ("train_loss", "val_cer", "val_wer", "lr")
 
 
@@ -23,15 +24,22 @@ def parse_log(lines: DataFrame, *by: str) -> DataFrame:
         get(TRAIN, 2).try_cast("double").alias("train_loss"),
         get(TRAIN, 3).try_cast("double").alias("lr"),
         F.when(~train, get(VALID, 2)).try_cast("double").alias("val_cer"),
-        F.when(~train, F.coalesce(get(VALID, 3), get(VALID, 4))).try_cast("double").alias("val_wer"),
+        F.when(~train, get(VALID, 3)).try_cast("double").alias("val_wer"),
     )
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)
     return own.groupBy(*by, "epoch").agg(*map(last, METRICS))
 
 
 def upsert_epoch(history: DataFrame, rows: DataFrame, *by: str) -> DataFrame:
-    """Rows of an epoch that is there replace it."""
-    return history.join(rows.select(*by, "epoch").distinct(), [*by, "epoch"], "left_anti").unionByName(rows)
+    """Rows of an epoch that is there replace it; of an epoch that the update repeats its last row counts."""
+    keys = [*by, "epoch"]
+    last = rows.select(*keys, F.struct(*rows.columns).alias("_row"), F.monotonically_increasing_id().alias("_at")).groupBy(*keys).agg(F.max_by("_row", "_at").alias("_row")).select("_row.*")
+    return history.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(last)
+
+
+def best_value(history: DataFrame, *by: str, metric: str = "val_cer") -> DataFrame:
+    """Number of epochs and the lowest value of a history; null where none was measured."""
+    return history.groupBy(*by).agg(F.count("*").alias("n_epochs"), F.min(metric).alias(f"best_{metric}"))
 
 
 def running_best(history: DataFrame, *by: str, metric: str = "val_cer", patience: int = 3) -> DataFrame:

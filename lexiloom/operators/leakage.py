@@ -16,7 +16,7 @@ def exploded_lines(df: DataFrame, key: str) -> DataFrame:
 
 
 def exact_hits(evaluation: DataFrame, training: DataFrame, key: str) -> DataFrame:
-    """Per item: its lines, and how many are whole lines of training texts. Lines travel as hashes and are then compared."""
+    """Per item: its lines, and how many are whole lines of training texts. Training lines are made distinct first."""
     wanted = exploded_lines(evaluation, key)
     known = training.select(F.explode(T.lines(F.col("text"))).alias("line")).distinct().withColumn("hit", F.lit(1))
     return wanted.join(known, "line", "left").groupBy(key).agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
@@ -25,7 +25,7 @@ def exact_hits(evaluation: DataFrame, training: DataFrame, key: str) -> DataFram
 def contained(evaluation: DataFrame, training: DataFrame, key: str, doc: str) -> DataFrame:
     """Per item: the number of training texts that hold it whole.
 
-    No nested loop: an item's rarest run of GRAM words meets equal runs of documents in an equi-join, and only such
+    No nested loop: an item's first run of GRAM words meets equal runs of documents in an equi-join, and only such
     pairs are searched. Items of fewer words look up their words.
     """
     grams = lambda ws, n: F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, n), " ")))

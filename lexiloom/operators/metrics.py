@@ -77,13 +77,23 @@ def confusions(pairs: DataFrame, *by: str) -> DataFrame:
 def nearest_word(words: DataFrame, vocabulary: DataFrame, distance: int = 2) -> DataFrame:
     """word, corrected: itself if known, else the word within the distance that is nearest, first of the vocabulary in ties.
 
-    Pairs come from an equi-join on the length: each word asks for the lengths within the distance.
+    Pairs come from an equi-join on what is left of words after up to `distance` deletions: two words within
+    the distance have such a rest in common. The distance is then verified.
     """
-    vocab = vocabulary.select("pos", F.col("value").alias("v"), F.length("value").alias("len"))
+
+    def rests(w: Column) -> Column:
+        without = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        level = out = F.array(w)
+        for _ in range(distance):
+            level = F.array_distinct(F.flatten(F.transform(level, without)))
+            out = F.array_union(out, level)
+        return out
+
+    vocab = vocabulary.select("pos", F.col("value").alias("v"), F.explode(rests(F.col("value"))).alias("rest"))
     known = words.join(vocabulary.select(F.col("value").alias("word")).distinct(), "word", "left_semi").select("word", F.col("word").alias("corrected"))
     rest = words.join(vocabulary.select(F.col("value").alias("word")), "word", "left_anti")
-    asks = rest.select("word", F.explode(F.sequence(F.length("word") - distance, F.length("word") + distance)).alias("len"))
-    near = asks.join(vocab, "len").select("word", "v", "pos", F.levenshtein("word", "v", distance).alias("d")).where("d >= 0")
+    asks = rest.select("word", F.explode(rests(F.col("word"))).alias("rest"))
+    near = asks.join(vocab, "rest").select("word", "v", "pos").distinct().select("word", "v", "pos", F.levenshtein("word", "v", distance).alias("d")).where("d >= 0")
     best = near.groupBy("word").agg(F.min_by("v", F.struct("d", "pos")).alias("corrected"))
     return known.unionByName(rest.join(best, "word", "left").select("word", F.coalesce("corrected", "word").alias("corrected")))
 

@@ -11,8 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import rewrite, text as T
 from ..operators import boxes, corpus, generate, history, language_model as lm, leakage, metrics, sequence
 
-PUNCTUATION = ".,;:!?-()[]{}\"'/%&+=*#@<>|_~$^`\\ "
-CHARS = T.default_characters(PUNCTUATION)
+CHARS = T.default_characters()
 ORDER, DISCOUNT = 3, 4.0
 #: The reference's setting, for the queries over the whole of documents.
 FULL_ORDER, FULL_DISCOUNT = 6, 2.0
@@ -74,12 +73,6 @@ def leak_verdict(spark, sf_dir):
     return leakage.file_verdicts(lines, leakage.exploded_lines(read(spark, sf_dir, "documents"), "doc_id").select(F.col("line").alias("text")), "set_id")
 
 
-@query("WITH t AS (SELECT DISTINCT string_split(string_split(url, '?')[1], '/')[-1] AS b FROM pages WHERE page_id % 2 = 0), e AS (SELECT page_id % 5 AS set_id, string_split(string_split(url, '?')[1], '/')[-1] AS b FROM pages WHERE page_id % 2 = 1) SELECT set_id, count(*) AS n, count(t.b) AS image_hits FROM e LEFT JOIN t USING (b) GROUP BY set_id")
-def leak_basenames(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 5).alias("set_id"), F.element_at(F.split("url", r"\?"), 1).alias("rel_path"))
-    return leakage.image_hits(p.where("page_id % 2 = 1"), p.where("page_id % 2 = 0"), "set_id")
-
-
 @query("WITH p AS (SELECT page_id % 5 AS set_id, string_split(string_split(url, '?')[1], '/')[-1] AS b FROM pages), r AS (SELECT b FROM p GROUP BY b HAVING count(*) > 1) SELECT set_id, count(*) AS n, count(r.b) AS image_hits FROM p LEFT JOIN r USING (b) GROUP BY set_id")
 def leak_basenames_all(spark, sf_dir):
     """Every page against all others: a hit is a name that another page has."""
@@ -372,7 +365,7 @@ def band_islands(spark, sf_dir):
     return _bands(spark, sf_dir).select("vec_id", F.inline("bands"))
 
 
-@query(f"WITH {BANDS_SQL}, m AS (SELECT vec_id, list_sort(list(y1 - y0))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median FROM b GROUP BY vec_id) SELECT vec_id, CAST(y0 AS INTEGER) AS y0, CAST(y1 AS INTEGER) AS y1 FROM b JOIN m USING (vec_id) WHERE y1 - y0 >= greatest(3, floor(median * 0.35))")
+@query(f"WITH {BANDS_SQL}, m AS (SELECT vec_id, list_sort(list(y1 - y0))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median, max(y1 - y0) AS most FROM b GROUP BY vec_id) SELECT vec_id, CAST(y0 AS INTEGER) AS y0, CAST(y1 AS INTEGER) AS y1 FROM b JOIN m USING (vec_id) WHERE y1 - y0 >= greatest(3, floor(median * 0.35)) OR most < greatest(3, floor(median * 0.35))")
 def band_filter_median(spark, sf_dir):
     return _bands(spark, sf_dir).select("vec_id", F.inline(sequence.drop_low(F.col("bands"))))
 
@@ -399,7 +392,7 @@ def box_interval_merge(spark, sf_dir):
 
 @query()
 def box_fixpoint_merge(spark, sf_dir):
-    return sequence.merge_neighbours(_boxes(spark, sf_dir), "vec_id").select("vec_id", F.inline("boxes"))
+    return _boxes(spark, sf_dir).select("vec_id", F.inline(sequence.merge_neighbours(F.col("boxes"))))
 
 
 @query()

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text as T
 
@@ -13,18 +14,24 @@ LINES = "path string, pos long, value string"
 
 
 def file_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """Lines of whole files with their place; files that are not there are left out."""
+    """Lines of files with their place; paths and globs of which no file is there are left out.
+
+    Files are read by splits: lines are numbered in each split, and the splits before it are summed.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     there = [p for p in paths if _exists(spark, p)]
     if not there:
         return spark.createDataFrame([], LINES)
-    whole = spark.read.text(there, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
-    return whole.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "value")).select("path", F.col("pos").cast("long").alias("pos"), "value")
+    own = spark.read.text(there).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    sizes = own.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = sizes.select("path", "block", (F.sum("n").over(W.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
+    within = F.row_number().over(W.partitionBy("path", "block").orderBy("at")) - 1
+    return own.join(before, ["path", "block"]).select("path", (F.col("before") + within).cast("long").alias("pos"), "value")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop))
 
 
 def labels(spark: SparkSession, paths: str | Iterable[str], strip: bool = False) -> DataFrame:
@@ -48,14 +55,24 @@ def charset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).select(F.posexplode("chars").alias("pos", "ch")).select((F.col("pos") + 1).alias("idx"), "ch")
 
 
+#: What Windows-1252 has at 0x80 to 0x9F, by code.
+WINDOWS = {c: x for c in range(0x80, 0xA0) if (x := bytes([c]).decode("cp1252", "ignore"))}
+
+
 def log_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a log whose encoding its first bytes tell: UTF-16 by mark or by zero bytes, else UTF-8."""
+    """Lines of a log whose encoding its first bytes tell: UTF-16 by mark or by zero bytes, else UTF-8 if it is valid, else
+    Windows-1252 if that has all its bytes, else UTF-8 with replacements.
+    """
+    string = F.col("content").cast("string")
+    latin = F.translate(F.decode("content", "ISO-8859-1"), "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
     head = F.hex(F.substring("content", 1, 4))
     text = (
         F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode("content", "UTF-16"))
         .when(head.rlike("^..00..00"), F.decode("content", "UTF-16LE"))
         .when(head.startswith("EFBBBF"), F.decode(F.expr("substring(content, 4)"), "UTF-8"))
-        .otherwise(F.decode("content", "UTF-8"))
+        .when(F.is_valid_utf8(string), string)
+        .when(latin.rlike(r"[\x{80}-\x{9f}]"), F.make_valid_utf8(string))
+        .otherwise(latin)
     )
     whole = spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(text, "\r\n?", "\n").alias("value"))
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "value"))

@@ -22,11 +22,13 @@ def event_windows(stream: DataFrame, lateness: str = "10 minutes", size: str = "
 
 
 def maintain_history(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of epoch rows replaces those epochs in the history; versions are folders by batch, so a repeated batch writes the same one."""
+    """Each micro-batch of epoch rows replaces those epochs in the history; versions are folders by batch, so a repeated batch writes the same one; the two latest stay."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}") if number else spark.createDataFrame([], batch.schema)
         upsert_epoch(before, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
