@@ -59,6 +59,14 @@ class Tables:
         for name in names:
             self.files.delete(self.path(f"{self.folder}/{name}"), True)
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """df through a table; all others of the folder go."""
+        out = self.written(df, "result")
+        for found in self.files.listStatus(self.path(self.folder)):
+            if found.getPath().getName() != "result":
+                self.files.delete(found.getPath(), True)
+        return out
+
     def _end(self) -> None:
         from py4j.protocol import Py4JError
 

@@ -79,4 +79,4 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     whole = C.texts(docs, id_col, text_col, F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("tie"))
     rows = tables.written(digests(whole), "rows")
     found = _with_groups(rows, tables)
-    return found.where(F.col("size").isNull() | (F.col("key") == F.col("best.key"))).select("row.*")
+    return tables.only(found.where(F.col("size").isNull() | (F.col("key") == F.col("best.key"))).select("row.*"))

@@ -361,9 +361,9 @@ def components(tables: C.Tables, edges: DataFrame, nodes: DataFrame, name: str)
             return labels
 
 
-def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), tables: C.Tables | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; with carry, those columns of docs and `label`, the component's number."""
-    tables = C.Tables(docs.sparkSession, "jaccard")
+    tables = tables or C.Tables(docs.sparkSession, "jaccard")
     docs = C.texts(docs, id_col, text_col, *(F.col(c).alias(f"c_{c}") for c in carry)).withColumn("text_hash", F.xxhash64("text"))
     chunks, buckets = grid(docs)
     chunk_of = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
@@ -456,8 +456,11 @@ def one_each(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_
     """
     tables = C.Tables(docs.sparkSession, "jaccard-rows")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("key"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
-    own = tables.written(own, "rows")
-    found = tables.written(linked(own, percent, n, carry=("key", "tie")), "found")
+    own = tables.written(own, "whole-rows")
+    inner = C.Tables(docs.sparkSession, "jaccard")
+    found = inner.only(linked(own, percent, n, carry=("key", "tie"), tables=inner))
     best = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "key")).alias("best")).select("best.key")
     stay = best.union(found.where("n_shingles = 0").select("key"))
-    return own.join(stay, "key", "left_semi").select("row.*")
+    out = tables.only(own.join(stay, "key", "left_semi").select("row.*"))
+    inner.drop("result")
+    return out

@@ -288,9 +288,9 @@ class Model:
         return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, tables: C.Tables | None = None) -> DataFrame:
     """`doc_id` and `spans` (kind, start, end, base; by kind, then start) of every row; keep: its whole row too, as `row`."""
-    tables = C.Tables(docs.sparkSession, "pii")
+    tables = tables or C.Tables(docs.sparkSession, "pii")
     more = [F.struct(*docs.columns).alias("row")] if keep else []
     found = tables.written(candidates(C.texts(docs, id_col, text_col, *more)).drop("text"), "candidates")
     model = Model(counted(found))
@@ -334,3 +334,12 @@ def masked(text: Column, spans: Column) -> Column:
         return F.concat(F.array_join(kept, ""), let(last, lambda at: between(parts, at, F.size(parts).cast("long") * CUT)))
 
     return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), whole)).otherwise(text)
+
+
+def masked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with the personal data of each text masked, and its length (where there is such a column) counted again."""
+    tables = C.Tables(docs.sparkSession, "pii")
+    found = personal_spans(docs, id_col, text_col, keep=True, tables=tables)
+    found = found.withColumn("masked", masked(F.col("row").getField(text_col), F.col("spans")))
+    new = {text_col: F.col("masked"), chars_col: F.length("masked").cast("long")}
+    return tables.only(found.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)))
