@@ -8,7 +8,6 @@ one's input, so a stage that is repeated after a loss starts from a table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexiloom.llm import common as C
 from lexiloom.llm import exact_dedup, jaccard_join, packing, pii, quality
@@ -48,9 +47,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A null text stays null, an empty one empty; repeated rows stay repeated; an empty table gives no rows;
     other columns stay as they are, whatever their names.
     """
-    found = pii.personal_spans(docs, keep=True).withColumn("masked", pii.masked(F.col("row.text"), F.col("spans")))
-    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
-    return found.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return pii.masked_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables, docs = C.Tables(spark, "pipeline"), C.table(spark, sf_dir, "documents")
+    tables, docs, before = C.Tables(spark, "pipeline"), C.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = tables.written(stage(spark, docs, sf_dir), name)
+        if before:
+            tables.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
