@@ -60,3 +60,22 @@ def fix_line(c: Column) -> Column:
     first = chain(c, FIRST)
     moved = F.when(first.rlike("[" + BEFORE + "][" + CONSONANTS + "]"), reorder(first)).otherwise(first)
     return chain(moved, SECOND)
+
+
+#: Marks that may follow a word, and the ending that a language model may change.
+MARKS = "[.…/]"
+ENDING, INSTEAD = "මි", "ම්"
+
+
+def parts(c: Column) -> Column:
+    """Words and the blanks between them, in turn; joined they are the text again."""
+    return F.regexp_extract_all(c, F.lit(r"(?U)[\s\x1c-\x1f]+|[^\s\x1c-\x1f]+"), F.lit(0))
+
+
+def without_marks(part: Column) -> Column:
+    return F.regexp_replace(part, MARKS + "+$", "")
+
+
+def other_ending(core: Column, ending: str = ENDING, instead: str = INSTEAD) -> Column:
+    """The word with the other ending; null where it doesn't end so, or is the ending alone."""
+    return F.when(core.endswith(ending) & (F.length(core) > len(ending)), F.concat(core.substr(F.lit(1), F.length(core) - len(ending)), F.lit(instead)))

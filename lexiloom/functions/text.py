@@ -96,6 +96,11 @@ def default_characters(punctuation: str = PUNCTUATION) -> list[str]:
     return list(dict.fromkeys([*DIGITS, *LETTERS, *punctuation, *JOINERS, *map(chr, range(BLOCK[0], BLOCK[1] + 1))]))
 
 
+def num_classes(chars: list[str]) -> int:
+    """The characters and the blank."""
+    return len(chars) + 1
+
+
 def encode(c: Column, chars: list[str]) -> Column:
     """Indices from 1; characters outside the set are left out."""
     known = F.array(*map(F.lit, chars))

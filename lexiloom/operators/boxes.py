@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequence import upper_median
+from .sequence import merge_neighbours, merge_overlapping, upper_median
 
 
 def keep_large(boxes: Column, height: int = 8, width: int = 20) -> Column:
@@ -53,3 +53,10 @@ def padded(rows: Column, value: float = 1.0) -> Column:
 def inverted(pixels: Column, threshold: float = 128.0) -> Column:
     """Whether an image is dark on the whole."""
     return F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / F.size(pixels) < threshold
+
+
+def refined(found: Column, height: int = 8, width: int = 20, neighbours: bool = True, overlapping: bool = True) -> Column:
+    """Boxes of a page without small ones, those of one row or band joined, in reading order."""
+    out = keep_large(found, height, width)
+    out = merge_neighbours(out) if neighbours else out
+    return reading_order(merge_overlapping(out) if overlapping else out)

@@ -93,3 +93,23 @@ def occurrences(df: DataFrame, ch: str, value: str = "text") -> DataFrame:
 def base_folder(path: Column, shared: str) -> Column:
     """Files under the shared folder go by it, others by their own folder."""
     return F.when((path == shared) | path.startswith(shared.rstrip("/") + "/"), shared).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
+
+
+#: What the recogniser confuses, anywhere in a word and at its end, and marks that don't count as its end.
+CONFUSED = ("ණේ", "නේ", "ම්", "මි", "ූ", "ඬ", "ඳ", "ඟ", "ැයි")
+CONFUSED_ENDS = ("ේ", "්", "ූ", "ී")
+END_MARKS = ".,:;!?()[]\"'"
+
+
+def is_confusable(word: Column, anywhere: tuple[str, ...] = CONFUSED, ends: tuple[str, ...] = CONFUSED_ENDS) -> Column:
+    """Whether a word holds one of the parts, or ends with one of the ends when marks around it are left out."""
+    bare = F.btrim(word, F.lit(END_MARKS))
+    return reduce(Column.__or__, [*(F.contains(word, F.lit(s)) for s in anywhere), *(bare.endswith(s) for s in ends)])
+
+
+def first_of(df: DataFrame, files: DataFrame, candidates: list[Column]) -> DataFrame:
+    """df with `found`: the first of the candidate paths, in their order, that is in files (column path); null if none is."""
+    own = df.withColumn("_id", F.monotonically_increasing_id())
+    asked = own.select("_id", F.posexplode(F.array(*candidates)).alias("_at", "path")).join(files.select("path").distinct(), "path")
+    found = asked.groupBy("_id").agg(F.min_by("path", "_at").alias("found"))
+    return own.join(found, "_id", "left").drop("_id")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text as T
 from .corpus import first_occurrences, ranked
@@ -144,6 +145,40 @@ def collapsed(line: Column) -> Column:
     return F.array_join(T.words(line), " ")
 
 
+def spans_of(rows: DataFrame, sentences: DataFrame, least: int = 4, longest: int = 6) -> DataFrame:
+    """seed, line: for each row a run of 1 to `longest` words of a random sentence of at least `least` words (column line)."""
+    long = sentences.where(F.size(T.words(F.col("line"))) >= least)
+    return joined(rows, long, "line").select("seed", span(F.col("line"), longest, F.col("seed")).alias("line"))
+
+
+def built(seeds: DataFrame, templates: list[str], slots: dict[str, list[str]], words: list[str], labels: list[str], amount: tuple[str, str], counts: tuple[int, int, int, int] = (1400, 900, 500, 250), least: int = 0, turns: int = 50, each: int = 500, seed: int = 42) -> DataFrame:
+    """line, place: a corpus of the seeds (columns pos, line), lines from templates, spans of seeds, recombined words and numeric
+    lines (counts), each distinct line once, in a random order (place, from 0).
+
+    Below `least` lines it is topped up from templates by turns of `each` lines, `turns` at most: a turn counts if the lines
+    before it are too few. Turns are rows of one plan, not a loop.
+    """
+    spark = seeds.sparkSession
+    rows = lambda n, what: spark.range(n).select("id", F.xxhash64(F.lit(seed), F.lit(what), "id").alias("seed"))
+    part = lambda k, own: own.select(F.lit(k).alias("part"), F.col("seed").alias("pos"), "line")
+    parts = [
+        seeds.select(F.lit(0).alias("part"), F.col("pos").cast("long").alias("pos"), "line"),
+        part(1, from_templates(rows(counts[0], "template"), templates, slots)),
+        part(2, spans_of(rows(counts[1], "span").select("seed"), seeds)),
+        part(3, rows(counts[2], "words").select(random_words(F.col("seed"), words, 2, 8).alias("line"), "seed")),
+        part(4, rows(counts[3], "number").select(labelled_numbers(F.col("seed"), labels, amount).alias("line"), "seed")),
+    ]
+    more = rows(turns * each, "more").select("seed", (F.lit(5) + F.floor(F.col("id") / each)).cast("int").alias("part"))
+    lines = from_templates(more, templates, slots).join(more, "seed").select("part", F.col("seed").alias("pos"), "line")
+    first = first_occurrences(reduce(DataFrame.unionByName, [*parts, lines]), "line", "part", "pos")
+    turn = F.greatest(F.col("part"), F.lit(4))
+    sizes = first.groupBy(turn.alias("turn")).agg(F.count("*").alias("n"))  # one row a turn
+    before = F.coalesce(F.sum("n").over(W.orderBy("turn").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = sizes.select("turn", "n", before.alias("before")).where((F.col("turn") == 4) | (F.col("before") < least)).select("turn")
+    kept = first.join(F.broadcast(counted), turn == F.col("turn"), "left_semi").select("line")
+    return ranked(kept, seed, "line").select("line", "place")
+
+
 def distinct_lines(df: DataFrame, value: str, *order: str) -> DataFrame:
     """Lines with white space collapsed, blank ones gone, each at its first place."""
     return first_occurrences(df.withColumn(value, collapsed(F.col(value))).where(F.col(value) != ""), value, *order)

@@ -63,3 +63,46 @@ def eval_rows(summary: DataFrame) -> DataFrame:
     """Table rows of an evaluation summary; a missing word error rate shows as a dash."""
     shown = lambda c: F.coalesce(F.format_string("%.2f", 100 * (1 - c)), F.lit("—"))
     return summary.select("id", "label", "cer", F.when(F.col("cer").isNotNull(), shown(F.col("cer"))).otherwise("—").alias("char_accuracy"), F.when(F.col("wer").isNotNull(), shown(F.col("wer"))).otherwise("—").alias("word_accuracy"))
+
+
+NUMBERS = "array<string>"
+SHAPES = f"struct<epochs:array<int>,{','.join(f'{m}:{NUMBERS}' for m in METRICS)},history:array<struct<epoch:int,{','.join(f'{m}:string' for m in METRICS)}>>,best_val_cer:string>"
+
+
+def from_json(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, pos, epoch, the metrics and best_val_cer from a history's JSON: columns, a list of records, or such a list as `history`.
+
+    Columns that are too short are filled with nulls, what is no number is null; the best value is the given one, else the lowest.
+    A history without epochs gives no row.
+    """
+    text = F.trim(value)
+    own = df.select(*by, F.from_json(F.when(text.startswith("["), F.concat(F.lit('{"history":'), text, F.lit("}"))).otherwise(text), SHAPES).alias("_h"))
+    of_columns = F.transform("_h.epochs", lambda e, i: F.struct(e.alias("epoch"), *(F.get(F.col(f"_h.{m}"), i).alias(m) for m in METRICS)))
+    rows = F.when(F.size("_h.epochs") > 0, of_columns).otherwise(F.col("_h.history"))
+    own = own.select(*by, "_h", F.transform(rows, lambda r: F.struct(r["epoch"].alias("epoch"), *(r[m].try_cast("double").alias(m) for m in METRICS))).alias("_r"))
+    best = F.coalesce(F.col("_h.best_val_cer").try_cast("double"), F.array_min(F.transform("_r", lambda r: r["val_cer"])))
+    return own.select(*by, best.alias("_b"), F.posexplode("_r").alias("_at", "_e")).select(*by, F.col("_at").alias("pos"), "_e.*", F.col("_b").alias("best_val_cer"))
+
+
+def as_columns(rows: DataFrame, *by: str) -> DataFrame:
+    """One row a history: epochs in order, each metric as an array (nulls kept) and the lowest val_cer; the form that is stored."""
+    own = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("epoch", *METRICS))).alias("_r"))
+    return own.select(*by, *(F.col("_r")[c].alias("epochs" if c == "epoch" else c) for c in ("epoch", *METRICS)), F.array_min(F.transform("_r", lambda r: r["val_cer"])).alias("best_val_cer"))
+
+
+def points(rows: DataFrame, metric: str, *by: str) -> DataFrame:
+    """Epochs at which a metric was measured, and its values."""
+    return rows.where(F.col(metric).isNotNull()).select(*by, "epoch", metric)
+
+
+def find_log(logs: DataFrame, preferred: list[str]) -> DataFrame:
+    """path of the log to use, one row or none, from lines of logs (path, modified, pos, value).
+
+    Usable is a log that tells of an epoch. The first of the preferred names goes before all others, the newest of these next, then the smaller path.
+    """
+    usable = parse_log(logs.select("path", "pos", "value"), "path").select("path").distinct()
+    name = F.element_at(F.split("path", "/"), -1)
+    place = F.array_position(F.array(*map(F.lit, preferred)) if preferred else F.expr("cast(array() as array<string>)"), name)
+    place = F.when(place > 0, place).otherwise(len(preferred) + 1)
+    newest = F.when(place > len(preferred), -F.unix_micros("modified")).otherwise(0)
+    return usable.join(logs.select("path", "modified").distinct(), "path").orderBy(place, newest, "path").limit(1).select("path")

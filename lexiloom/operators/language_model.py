@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import rewrite, text as T
 
 #: Fixed value: what stands before the first character.
 BEGIN = "\u0002"
@@ -123,3 +123,25 @@ def gated(candidates: DataFrame, counted: DataFrame, order: int, discount: float
 
 def model_lines(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(T.lines(F.col("text"))).alias("line"))
+
+
+def word_endings(lines: DataFrame, counted: DataFrame, order: int, discount: float, *keys: str, ending: str = rewrite.ENDING, instead: str = rewrite.INSTEAD) -> DataFrame:
+    """keys, line: a word's ending, marks after it aside, gives way to the other one where the model scores that word strictly higher.
+
+    Keys tell rows apart. Only lines with such a word are cut and put together again, and a distinct word is scored
+    once; blanks stay as they are, a null line stays null.
+    """
+    of = lambda part: rewrite.other_ending(rewrite.without_marks(part), ending, instead)
+    asked = F.coalesce(F.exists(rewrite.parts(F.col("line")), lambda x: of(x).isNotNull()), F.lit(False))
+    cut = lines.where(asked).select(*keys, F.posexplode(rewrite.parts(F.col("line"))).alias("_at", "_part"))
+    cut = cut.select(*keys, "_at", "_part", rewrite.without_marks(F.col("_part")).alias("first"), of(F.col("_part")).alias("second"))
+    chosen = gated(cut.where("second is not null").select("first", "second").distinct(), counted, order, discount, "first")
+    new = F.concat(F.coalesce("chosen", "first"), F.col("_part").substr(F.length("first") + 1, F.length("_part")))
+    whole = cut.join(chosen, "first", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", new.alias("new")))).alias("_parts"))
+    joined = whole.select(*keys, F.array_join(F.transform("_parts", lambda x: x["new"]), "").alias("line"))
+    return lines.where(~asked).select(*keys, "line").unionByName(joined)
+
+
+def fixed_lines(lines: DataFrame, counted: DataFrame, order: int, discount: float, *keys: str) -> DataFrame:
+    """keys, line: all rewrite rules, the one that asks the model last."""
+    return word_endings(lines.select(*keys, rewrite.fix_line(F.col("line")).alias("line")), counted, order, discount, *keys)

@@ -100,3 +100,104 @@ def nearest_word(words: DataFrame, vocabulary: DataFrame, distance: int = 2) ->
 
 def verdict(n: Column, hits: Column) -> Column:
     return F.when(hits == 0, "clean").when(hits == n, "IN TRAIN").otherwise("PARTIAL")
+
+
+def corrected_text(df: DataFrame, vocabulary: DataFrame, *keys: str, distance: int = 2) -> DataFrame:
+    """keys, text: each word by its nearest word of the vocabulary, joined by one blank; keys tell rows apart, no words give an empty text.
+
+    Each distinct word is looked up once.
+    """
+    cut = df.select(*keys, F.posexplode_outer(T.words(F.col("text"))).alias("_at", "word"))
+    near = nearest_word(cut.where("word is not null").select("word").distinct(), vocabulary, distance)
+    whole = cut.join(near, "word", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "corrected"))).alias("_l"))
+    return whole.select(*keys, F.array_join(F.transform("_l", lambda x: x["corrected"]), " ").alias("text"))
+
+
+def first_hypothesis(hypotheses: Column) -> Column:
+    """What a rescorer without a model gives: the first, or an empty text."""
+    return F.coalesce(F.get(hypotheses, F.lit(0)), F.lit(""))
+
+
+def match_rate(df: DataFrame, matched: Column, *by: str) -> DataFrame:
+    """Share of a group's rows that match, and their number."""
+    return df.groupBy(*by).agg(F.avg(matched.cast("double")).alias("matched"), F.count("*").alias("n"))
+
+
+def with_status(df: DataFrame, status: DataFrame, key: str) -> DataFrame:
+    """df with the status of its key; empty where none is known."""
+    return df.join(status.select(key, F.col("status").alias("_s")), key, "left").withColumn("status", F.coalesce("_s", F.lit(""))).drop("_s")
+
+
+def equal_counts(counts: DataFrame) -> DataFrame:
+    """Pages that have as many predicted lines as reference ones: only these may be paired by place."""
+    return counts.where("num_gt = num_pred")
+
+
+def page_reports(ref: DataFrame, hyp: DataFrame, page: str = "page", line: str = "line_no") -> DataFrame:
+    """One row a page: line counts of both sides, cer and wer over its aligned lines (1 without any) and per_line, an array of line, ref, hyp, cer."""
+    pairs = with_word_edits(align(ref, hyp, page, line))
+    own = pairs.select(page, line, "ref", "hyp", T.edits(F.col("ref"), F.col("hyp")).alias("e"), "word_edits", "ref_words")
+    rate = T.rate(F.col("e"), F.length("ref"), F.length("hyp"))
+    lines = own.groupBy(page).agg(
+        (F.sum("e") / F.sum(F.greatest(F.lit(1), F.length("ref")))).alias("cer"),
+        (F.sum("word_edits") / F.sum(F.greatest(F.lit(1), F.col("ref_words")))).alias("wer"),
+        F.array_sort(F.collect_list(F.struct(F.col(line).alias("line"), "ref", "hyp", rate.alias("cer")))).alias("per_line"),
+    )
+    none = F.expr("cast(array() as array<struct<line:bigint,ref:string,hyp:string,cer:double>>)")
+    return alignment_counts(ref, hyp, page).join(lines, page, "left").select(page, "num_gt", "num_pred", "num_aligned", *(F.coalesce(c, F.lit(1.0)).alias(c) for c in ("cer", "wer")), F.coalesce(F.col("per_line").cast("array<struct<line:bigint,ref:string,hyp:string,cer:double>>"), none).alias("per_line"))
+
+
+def suite_report(pages: DataFrame, by: str, status: DataFrame) -> DataFrame:
+    """One row a set of pages: their number, cer over each page's concatenated lines (null without characters) and status.
+
+    A set's pages stay rows of their own, so no set is gathered in one task.
+    """
+    joined = lambda c: F.array_join(F.transform("per_line", lambda x: x[c]), "")
+    own = pages.select(by, joined("ref").alias("ref"), joined("hyp").alias("hyp")).select(by, T.edits(F.col("ref"), F.col("hyp")).alias("e"), F.length("ref").alias("n"))
+    total = own.groupBy(by).agg(F.count("*").alias("n"), F.sum("e").alias("_e"), F.sum("n").alias("_c"))
+    return with_status(total.select(by, "n", F.when(F.col("_c") > 0, F.col("_e") / F.col("_c")).alias("cer")), status, by)
+
+
+def report_lines(pages: DataFrame, page: str = "page") -> DataFrame:
+    """name (page#line, two digits at least), ref, hyp, cer of each scored line."""
+    own = pages.select(page, F.explode("per_line").alias("l"))
+    return own.select(F.concat(F.col(page).cast("string"), F.lit("#"), F.format_string("%02d", "l.line")).alias("name"), "l.ref", "l.hyp", "l.cer")
+
+
+RULE, THIN = "=" * 72, "-" * 72
+
+
+def run_report(predicted: Column, truth: Column, settings: dict[str, Column], extra: dict[str, Column] | None = None) -> Column:
+    """The text of a run's report from an array of predicted lines and one of reference lines (null or empty: none).
+
+    settings stand at its head by name, extra ones after the number of lines. Decimals round half up in their shortest
+    form. The wording and the order of lines are fixed values.
+    """
+    named = lambda d: [F.concat(F.lit(f"{k:15}: "), v.cast("string")) for k, v in (d or {}).items()]
+    two = lambda i: F.format_string("%02d", i)
+    one = F.format_string
+    arr = lambda *c: F.array(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    head = arr(RULE, "EVALUATION METRICS", RULE, *named(settings), one("lines detected : %d", F.size(predicted)), *named(extra), THIN, "Full transcription", THIN)
+    lines = F.transform(predicted, lambda t, i: F.concat(two(i + 1), F.lit(": "), t))
+    n = F.least(F.size(truth), F.size(predicted))
+    pairs = F.slice(F.zip_with(truth, predicted, lambda a, b: F.struct(a.alias("ref"), b.alias("hyp"))), F.lit(1), n)
+    total = lambda f: F.aggregate(pairs, F.lit(0), lambda a, p: a + f(p).cast("int"))
+    words = lambda p, k: T.words(p[k])
+    c = total(lambda p: T.edits(p["ref"], p["hyp"])) / total(lambda p: F.greatest(F.lit(1), F.length(p["ref"])))
+    w = total(lambda p: T.word_edits(words(p, "ref"), words(p, "hyp"))) / total(lambda p: F.greatest(F.lit(1), F.size(words(p, "ref"))))
+    c, w = (F.when(n > 0, x).otherwise(0.0) for x in (c, w))
+
+    def scored(p: Column, i: Column) -> Column:
+        lc, lw = T.cer(p["ref"], p["hyp"]), T.wer(p["ref"], p["hyp"])
+        first = one("%02d  CER=%.3f (%.1f%%)  WER=%.3f (%.1f%%)", i + 1, lc, T.accuracy_pct(lc), lw, T.accuracy_pct(lw))
+        return F.when(p["ref"] == p["hyp"], first).otherwise(F.concat(first, F.lit("\n    GT: "), p["ref"], F.lit("\n    PR: "), p["hyp"]))
+
+    note = F.when(F.size(truth) != F.size(predicted), F.array(one("NOTE: GT lines (%d) != detected (%d); detection under/over-segmentation affects the score.", F.size(truth), F.size(predicted)))).otherwise(F.expr("cast(array() as array<string>)"))
+    rates = arr(
+        one("Character Error Rate (CER) : %.4f  →  Character Accuracy: %.2f%%", c, T.accuracy_pct(c)),
+        one("Word Error Rate (WER)      : %.4f  →  Word Accuracy: %.2f%%", w, T.accuracy_pct(w)),
+        "  (Character Accuracy = (1 − CER) × 100%; Word Accuracy = (1 − WER) × 100%)", THIN, "Per-line CER / WER / accuracy",
+    )
+    known = F.concat(arr(THIN, one("Ground truth   : yes (%d GT lines, scoring %d aligned)", F.size(truth), n)), note, rates, F.transform(pairs, scored))
+    unknown = arr(THIN, "Ground truth   : not available", "No CER/WER computed. Provide a sidecar `<image>.gt.txt` (one GT line per detected line).", one("non-empty lines: %d/%d", F.size(F.filter(predicted, lambda t: T.strip(t) != "")), F.size(predicted)))
+    return F.array_join(F.concat(head, lines, F.when(F.size(F.coalesce(truth, F.expr("cast(array() as array<string>)"))) > 0, known).otherwise(unknown), F.array(F.lit(RULE))), "\n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,6 +44,9 @@ WORDS_SQL = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
 LATIN = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
 ONE_BYTE = "translate({}, '" + LATIN + "', " + " || ".join("chr(%d)" % c for c in [1, 2, 3, 4, 5, 6, 7, 8, *range(14, 27)]) + ")"
 PAIRS_SQL = "p AS (SELECT a.conv_id, a.turn, a.role, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+#: Words as one byte each: a word of one side only is an own byte of that side, as it equals none of the other.
+WORD_EDITS_SQL = f"""w AS (SELECT conv_id, turn, role, {WORDS_SQL.format('ref')} AS rw, {WORDS_SQL.format('hyp')} AS hw FROM p), k AS (SELECT *, list_distinct(list_intersect(rw, hw)) AS c FROM w),
+ x AS (SELECT conv_id, turn, role, len(rw) AS n, len(hw) AS m, levenshtein(array_to_string(list_transform(rw, lambda v: chr(CAST(coalesce(list_position(c, v) + 2, 1) AS INTEGER))), ''), array_to_string(list_transform(hw, lambda v: chr(CAST(coalesce(list_position(c, v) + 2, 2) AS INTEGER))), '')) AS e FROM k)"""
 EDITS_SQL = f"levenshtein({ONE_BYTE.format('ref')}, {ONE_BYTE.format('hyp')})"
 
 
@@ -175,12 +178,12 @@ def corpus_cer_by_group(spark, sf_dir):
     return metrics.corpus_cer(turns(spark, sf_dir), "role").withColumn("cer", F.round("cer", 9))
 
 
-@query()
+@query(f"WITH {PAIRS_SQL}, {WORD_EDITS_SQL} SELECT conv_id, turn, round(CASE WHEN n > 0 THEN e / n WHEN m > 0 THEN 1 ELSE 0 END, 9) AS wer FROM x")
 def wer_per_turn(spark, sf_dir):
     return metrics.wer_of_pairs(turns(spark, sf_dir)).select("conv_id", "turn", F.round("wer", 9).alias("wer"))
 
 
-@query()
+@query(f"WITH {PAIRS_SQL}, {WORD_EDITS_SQL} SELECT role, count(*) AS n_pairs, round(sum(e) / sum(greatest(1, n)), 9) AS wer FROM x GROUP BY role")
 def corpus_wer_by_group(spark, sf_dir):
     return metrics.corpus_rates(turns(spark, sf_dir), "role").select("role", "n_pairs", F.round("wer", 9).alias("wer"))
 
@@ -209,12 +212,13 @@ def count_equal_pages(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     n = metrics.alignment_counts(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id")
     system = c.select("conv_id").distinct().join(n, "conv_id", "left").na.fill(0)
-    return system.where("num_gt = num_pred").select("conv_id")
+    return metrics.equal_counts(system).select("conv_id")
 
 
 @query("SELECT lang, round(avg(quality), 9) AS matched, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def match_rate_by_group(spark, sf_dir):
-    return read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.round(F.avg("quality"), 9).alias("matched"), F.count("*").alias("n"))
+    own = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return metrics.match_rate(own, F.col("quality"), "lang").withColumn("matched", F.round("matched", 9))
 
 
 @query("SELECT round(avg(CASE WHEN coalesce(CAST(toxic AS VARCHAR), '') = CAST(quality AS VARCHAR) THEN 1 ELSE 0 END), 9) AS field_accuracy FROM labels")
@@ -227,7 +231,7 @@ def field_accuracy(spark, sf_dir):
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN '' WHEN l.quality = 1 THEN 'held out' ELSE 'in training' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
 def set_status_join(spark, sf_dir):
     status = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "held out").otherwise("in training").alias("status"))
-    return read(spark, sf_dir, "documents").select("doc_id").join(status, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("")).alias("status"))
+    return metrics.with_status(read(spark, sf_dir, "documents").select("doc_id"), status, "doc_id")
 
 
 VOCAB_SQL = f"w AS (SELECT unnest({WORDS_SQL.format('text')}) AS word FROM benchmark), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), v AS (SELECT word AS v, row_number() OVER (ORDER BY word) AS pos FROM c WHERE n >= 3), r AS (SELECT word FROM c)"
@@ -241,6 +245,54 @@ def dictionary_correct(spark, sf_dir):
     return metrics.nearest_word(counted.select("word"), vocabulary, 2)
 
 
+@query(f"""WITH {VOCAB_SQL}, m AS (SELECT word, v, row_number() OVER (PARTITION BY word ORDER BY levenshtein({ONE_BYTE.format('word')}, {ONE_BYTE.format('v')}), pos) AS k FROM r JOIN v ON abs(length(word) - length(v)) <= 2 AND levenshtein({ONE_BYTE.format('word')}, {ONE_BYTE.format('v')}) <= 2),
+ k AS (SELECT r.word, coalesce(x.v, m.v, r.word) AS corrected FROM r LEFT JOIN v x ON x.v = r.word LEFT JOIN m ON m.word = r.word AND m.k = 1), b AS (SELECT item_id, {WORDS_SQL.format('text')} AS ws FROM benchmark), t AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM b)
+ SELECT item_id, coalesce(string_agg(corrected, ' ' ORDER BY i), '') AS text FROM b LEFT JOIN t USING (item_id) LEFT JOIN k USING (word) GROUP BY item_id""")
+def corrected_lines(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    counted = b.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return metrics.corrected_text(b, counted.where("n >= 3").select(F.col("word").alias("pos"), F.col("word").alias("value")), "item_id")
+
+
+def _reports(spark, sf_dir):
+    """Each conversation as a page: the user's turns in order against the assistant's."""
+    c = read(spark, sf_dir, "conversations")
+    side = lambda role: c.where(F.col("role") == role).withColumn("line_no", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long")).select("conv_id", "line_no", "text")
+    return metrics.page_reports(side("user"), side("assistant"), "conv_id")
+
+
+REPORT_SQL = f"""r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS line, role, text FROM conversations),
+ p AS (SELECT a.conv_id, a.line AS turn, 'user' AS role, a.text AS ref, b.text AS hyp FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.line = b.line AND a.role = 'user' AND b.role = 'assistant'),
+ g AS (SELECT conv_id, count(*) FILTER (role = 'user') AS num_gt, count(*) FILTER (role = 'assistant') AS num_pred FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)"""
+
+
+@query(f"""WITH {REPORT_SQL}, {WORD_EDITS_SQL}, z AS (SELECT conv_id, sum({EDITS_SQL}) / sum(greatest(1, length(ref))) AS cer FROM p GROUP BY conv_id), y AS (SELECT conv_id, sum(e) / sum(greatest(1, n)) AS wer FROM x GROUP BY conv_id)
+ SELECT conv_id, num_gt, num_pred, least(num_gt, num_pred) AS num_aligned, round(coalesce(cer, 1), 9) AS cer, round(coalesce(wer, 1), 9) AS wer FROM g LEFT JOIN z USING (conv_id) LEFT JOIN y USING (conv_id)""")
+def page_reports(spark, sf_dir):
+    return _reports(spark, sf_dir).select("conv_id", "num_gt", "num_pred", "num_aligned", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"))
+
+
+@query(f"""WITH {REPORT_SQL}, j AS (SELECT conv_id, string_agg(ref, '' ORDER BY turn) AS ref, string_agg(hyp, '' ORDER BY turn) AS hyp FROM p GROUP BY conv_id), e AS (SELECT g.conv_id % 5 AS set_id, coalesce({EDITS_SQL}, 0) AS e, coalesce(length(ref), 0) AS c FROM g LEFT JOIN j USING (conv_id))
+ SELECT set_id, count(*) AS n, round(CASE WHEN sum(c) > 0 THEN sum(e) / sum(c) END, 9) AS cer, CASE set_id WHEN 0 THEN 'held out' WHEN 1 THEN 'in training' ELSE '' END AS status FROM e GROUP BY set_id""")
+def suite_report(spark, sf_dir):
+    status = spark.createDataFrame([(0, "held out"), (1, "in training")], "set_id long, status string")
+    return metrics.suite_report(_reports(spark, sf_dir).withColumn("set_id", F.col("conv_id") % 5), "set_id", status).withColumn("cer", F.round("cer", 9))
+
+
+@query(f"WITH {REPORT_SQL} SELECT conv_id || '#' || lpad(CAST(turn AS VARCHAR), CAST(greatest(2, length(CAST(turn AS VARCHAR))) AS INTEGER), '0') AS name, ref, hyp, round(CASE WHEN ref = hyp THEN 0 WHEN length(ref) > 0 THEN {EDITS_SQL} / length(ref) ELSE 1 END, 9) AS cer FROM p")
+def report_lines(spark, sf_dir):
+    return metrics.report_lines(_reports(spark, sf_dir), "conv_id").withColumn("cer", F.round("cer", 9))
+
+
+@query()
+def run_reports(spark, sf_dir):
+    """The report of each conversation; where the user says nothing it has no reference."""
+    c = read(spark, sf_dir, "conversations")
+    said = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    own = c.groupBy("conv_id").agg(said("assistant").alias("pred"), said("user").alias("ref"))
+    return own.select("conv_id", metrics.run_report(F.col("pred"), F.col("ref"), {"checkpoint": F.lit("none"), "decode": F.lit("greedy")}, {"image": F.col("conv_id")}).alias("report"))
+
+
 @query()
 def confusion_opcodes(spark, sf_dir):
     return metrics.confusions(turns(spark, sf_dir), "role").orderBy(F.desc("n"), "role", "op", "ref", "hyp").limit(50)
@@ -290,6 +342,16 @@ def history_upsert(spark, sf_dir):
     return history.upsert_epoch(h, fresh, "run")
 
 
+@query(f"WITH {LOG_SQL}, b AS (SELECT run, min(val_cer) AS best_val_cer FROM h GROUP BY run) SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY epoch) - 1 AS INTEGER) AS pos, epoch, train_loss, val_cer, val_wer, lr, CASE WHEN run % 3 = 0 THEN 0.125::DOUBLE ELSE best_val_cer END AS best_val_cer FROM h JOIN b USING (run)")
+def history_shapes(spark, sf_dir):
+    """Histories stored as JSON and read again: as columns with a given best value, as `history`, as a bare list."""
+    h = _log(spark, sf_dir)
+    columns = F.to_json(F.struct("epochs", *history.METRICS, F.lit(0.125).alias("best_val_cer")), {"ignoreNullFields": "false"})
+    records = F.to_json(F.transform(F.arrays_zip("epochs", *history.METRICS), lambda r: F.struct(r["epochs"].alias("epoch"), *(r[m].alias(m) for m in history.METRICS))))
+    text = F.when(F.col("run") % 3 == 0, columns).when(F.col("run") % 3 == 1, F.concat(F.lit('{"history": '), records, F.lit("}"))).otherwise(records)
+    return history.from_json(history.as_columns(h, "run").select("run", text.alias("value")), "value", "run")
+
+
 BEST_SQL = f"""{LOG_SQL}, b AS (SELECT run, epoch, val_cer, min(val_cer) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(val_cer) OVER (PARTITION BY run ORDER BY epoch) AS best FROM h WHERE val_cer IS NOT NULL),
  i AS (SELECT *, coalesce(val_cer < before, true) AS improved FROM b), j AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (PARTITION BY run ORDER BY epoch) AS r FROM i),
  s AS (SELECT *, row_number() OVER (PARTITION BY run, r ORDER BY epoch) - 1 AS stale FROM j)"""
@@ -321,6 +383,11 @@ def eval_summary_rows(spark, sf_dir):
     return history.eval_rows(own.withColumn("label", F.concat(F.lit("set "), F.col("id")))).withColumn("cer", F.round("cer", 9))
 
 
+def _rows(df: DataFrame, key: str, array: Column, first: str) -> DataFrame:
+    """key and the fields of each struct. An outer generator: the other kind has the array's size asked in a filter below it, so that all is computed twice."""
+    return df.select(key, F.inline_outer(array)).where(F.col(first).isNotNull())
+
+
 # -- sequences ----------------------------------------------------------------------------------------
 
 FRAMES_SQL = "f AS (SELECT vec_id, generate_subscripts(embedding, 1) AS t, CAST(floor((CAST(unnest(embedding) AS DOUBLE) + 1) * 4) AS INTEGER) % 4 AS c FROM embeddings)"
@@ -367,17 +434,17 @@ def band_islands(spark, sf_dir):
 
 @query(f"WITH {BANDS_SQL}, m AS (SELECT vec_id, list_sort(list(y1 - y0))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median, max(y1 - y0) AS most FROM b GROUP BY vec_id) SELECT vec_id, CAST(y0 AS INTEGER) AS y0, CAST(y1 AS INTEGER) AS y1 FROM b JOIN m USING (vec_id) WHERE y1 - y0 >= greatest(3, floor(median * 0.35)) OR most < greatest(3, floor(median * 0.35))")
 def band_filter_median(spark, sf_dir):
-    return _bands(spark, sf_dir).select("vec_id", F.inline(sequence.drop_low(F.col("bands"))))
+    return _rows(_bands(spark, sf_dir), "vec_id", sequence.drop_low(F.col("bands")), "y0")
 
 
 @query()
 def band_fragments(spark, sf_dir):
-    return _bands(spark, sf_dir).select("vec_id", F.inline(sequence.merge_fragments(F.col("bands"))))
+    return _rows(_bands(spark, sf_dir), "vec_id", sequence.merge_fragments(F.col("bands")), "y0")
 
 
 @query()
 def tall_band_split(spark, sf_dir):
-    return sequence.split_tall(_bands(spark, sf_dir), "vec_id").select("vec_id", F.inline("bands"))
+    return _rows(sequence.split_tall(_bands(spark, sf_dir), "vec_id"), "vec_id", F.col("bands"), "y0")
 
 
 def _boxes(spark, sf_dir):
@@ -387,12 +454,12 @@ def _boxes(spark, sf_dir):
 
 @query()
 def box_interval_merge(spark, sf_dir):
-    return _boxes(spark, sf_dir).select("vec_id", F.inline(sequence.merge_overlapping(F.col("boxes"))))
+    return _rows(_boxes(spark, sf_dir), "vec_id", sequence.merge_overlapping(F.col("boxes")), "x")
 
 
 @query()
 def box_fixpoint_merge(spark, sf_dir):
-    return _boxes(spark, sf_dir).select("vec_id", F.inline(sequence.merge_neighbours(F.col("boxes"))))
+    return _rows(_boxes(spark, sf_dir), "vec_id", sequence.merge_neighbours(F.col("boxes")), "x")
 
 
 @query()
@@ -401,6 +468,27 @@ def prefix_beam(spark, sf_dir):
     return sequence.beam_search(read(spark, sf_dir, "embeddings").select("vec_id", rows.alias("frames")), "vec_id", "frames", ["a", "b", "c"], width=12)
 
 
+@query()
+def page_bands(spark, sf_dir):
+    ink = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.floor(v.cast("double") * 40)))
+    pages = read(spark, sf_dir, "embeddings").select("vec_id", ink.alias("profile"), F.lit(600).alias("width"))
+    return _rows(sequence.page_bands(pages, "vec_id"), "vec_id", F.col("bands"), "y0")
+
+
+@query()
+def refined_boxes(spark, sf_dir):
+    return _rows(_boxes(spark, sf_dir), "vec_id", boxes.refined(F.col("boxes")), "x")
+
+
+@query()
+def built_corpus(spark, sf_dir):
+    """Every distinct line of the conversations as seeds, with generated lines; topped up beyond the lines there are."""
+    lines = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.lines(F.col("text"))).alias("line"))
+    seeds = lines.select(F.xxhash64("conv_id", "turn", "line").alias("pos"), "line")
+    names = sorted(r[0] for r in read(spark, sf_dir, "nation").select("n_name").collect())  # 25 rows by its schema
+    return generate.built(seeds, ["{who} of {place}", "{place} is  near {who}"], {"who": names, "place": names[::-1]}, names, ["no", "sum"], ("EUR", "net"), least=3000, turns=3)
+
+
 BOXES_SQL = """b AS (SELECT vec_id, CAST(floor(abs(CAST(embedding[4 * i + 1] AS DOUBLE)) * 300) AS INTEGER) AS x, CAST(floor(abs(CAST(embedding[4 * i + 2] AS DOUBLE)) * 1000) AS INTEGER) AS y, CAST(floor(abs(CAST(embedding[4 * i + 3] AS DOUBLE)) * 200 + 8) AS INTEGER) AS w, CAST(floor(abs(CAST(embedding[4 * i + 4] AS DOUBLE)) * 60 + 6) AS INTEGER) AS h FROM embeddings, range(16) r(i))"""
 
 
@@ -485,6 +573,28 @@ def lm_logp_lines(spark, sf_dir):
     return lm.score(rows, _counts(spark, sf_dir), ORDER, DISCOUNT, "conv_id", "turn").withColumn("lp", F.round("lp", 4))
 
 
+def _known(level: int) -> str:
+    """The interpolation up to a level, for any character; a context that is unknown changes nothing."""
+    if level < 0:
+        return "1.0::DOUBLE / (v.size + 1)"
+    return f"CASE WHEN t{level}.total IS NULL THEN {_known(level - 1)} ELSE coalesce(c{level}.n, 0) / (t{level}.total + {DISCOUNT}) + (1 - t{level}.total / (t{level}.total + {DISCOUNT})) * ({_known(level - 1)}) END"
+
+
+_LEFT = " ".join(f"LEFT JOIN t t{k} ON t{k}.k = {k} AND t{k}.ctx = substr(x.ctx, {ORDER} - {k}, {k}) LEFT JOIN c c{k} ON c{k}.k = {k} AND c{k}.ctx = substr(x.ctx, {ORDER} - {k}, {k}) AND c{k}.ch = x.ch" for k in range(ORDER))
+
+
+@query(f"""WITH {SCORE_SQL}, q AS (SELECT conv_id, turn, {LINES_SQL} AS ls FROM conversations), o AS (SELECT conv_id, turn, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM q),
+ a AS (SELECT conv_id, turn, pos, regexp_extract_all(line, '\\s+|\\S+') AS ps FROM o), d AS (SELECT conv_id, turn, pos, generate_subscripts(ps, 1) AS i, unnest(ps) AS part FROM a), e AS (SELECT *, regexp_replace(part, '[.…/]+$', '') AS core FROM d),
+ f AS (SELECT *, CASE WHEN core LIKE '_%in' THEN left(core, length(core) - 2) || 'on' END AS cand FROM e), u AS (SELECT DISTINCT unnest([core, cand]) AS word FROM f WHERE cand IS NOT NULL),
+ z AS (SELECT word, repeat(chr(2), {ORDER - 1}) || word AS s, unnest(range({ORDER}, length(word) + {ORDER})) AS i FROM u), x AS (SELECT word, substr(s, i - {ORDER - 1}, {ORDER - 1}) AS ctx, substr(s, i, 1) AS ch, count(*) AS times FROM z GROUP BY ALL),
+ y AS (SELECT word, sum(times * ln({_known(ORDER - 1)})) AS lp FROM x JOIN v ON true {_LEFT} GROUP BY word)
+ SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, string_agg(CASE WHEN b.lp > g.lp THEN cand ELSE core END || substr(part, length(core) + 1), '' ORDER BY i) AS line FROM f LEFT JOIN y g ON g.word = core LEFT JOIN y b ON b.word = cand GROUP BY conv_id, turn, pos""")
+def lm_word_endings(spark, sf_dir):
+    """Every line; a Latin ending stands in for the script's."""
+    lines = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+    return lm.word_endings(lines, _counts(spark, sf_dir), ORDER, DISCOUNT, "conv_id", "turn", "pos", ending="in", instead="on")
+
+
 # The same over the whole of documents in the reference's setting; without SQL, which would be too slow at that volume.
 
 

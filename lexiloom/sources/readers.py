@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..operators import history as H
 
 LINES = "path string, pos long, value string"
 
@@ -74,8 +75,8 @@ def log_text(spark: SparkSession, path: str) -> DataFrame:
         .when(latin.rlike(r"[\x{80}-\x{9f}]"), F.make_valid_utf8(string))
         .otherwise(latin)
     )
-    whole = spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(text, "\r\n?", "\n").alias("value"))
-    return whole.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "value"))
+    whole = spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("modified"), F.regexp_replace(text, "\r\n?", "\n").alias("value"))
+    return whole.select("path", "modified", F.posexplode(F.split("value", "\n")).alias("pos", "value"))
 
 
 def page_spec(spark: SparkSession, path: str) -> DataFrame:
@@ -94,3 +95,49 @@ def write_labels(df: DataFrame, path: str, split: str | None = None) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def train_history(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of history files, by their path; a file is one JSON value of any of the three shapes."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
+    return H.from_json(whole, "value", "source")
+
+
+def find_train_log(spark: SparkSession, folder: str, preferred: list[str]) -> str | None:
+    """The log of a folder to use, by preferred names, else the newest that tells of an epoch; None without one."""
+    pattern = folder.rstrip("/") + "/*.log"
+    row = H.find_log(log_text(spark, pattern), preferred).first() if _exists(spark, pattern) else None
+    return row["path"] if row else None
+
+
+def resolve_history(spark: SparkSession, folder: str, preferred: list[str], history: str | None = None, log: str | None = None, bundled: str | None = None) -> DataFrame:
+    """Epochs of the given history, else the given log, else the folder's log, else its train_history.json, else the bundled one."""
+    from_log = lambda p: H.parse_log(log_text(spark, p).withColumn("source", F.col("path")), "source")
+    if history:
+        return train_history(spark, history)
+    if log or (log := find_train_log(spark, folder, preferred)):
+        return from_log(log)
+    for path in (folder.rstrip("/") + "/train_history.json", bundled):
+        if path and _exists(spark, path):
+            return train_history(spark, path)
+    raise FileNotFoundError(f"no training history under {folder} or at {bundled}")
+
+
+def eval_summary(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The JSON of the first path that is there."""
+    for path in paths:
+        if _exists(spark, path):
+            return spark.read.json(path, multiLine=True)
+    raise FileNotFoundError(f"no evaluation summary at {', '.join(paths)}")
+
+
+def write_charset(df: DataFrame, path: str) -> None:
+    """Characters (idx, ch) in order, as one JSON object with the list `chars`; a set has some hundreds."""
+    whole = df.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ch"))), lambda x: x["ch"]).alias("chars"))
+    whole.coalesce(1).write.mode("overwrite").json(path)
+
+
+def gt_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+    """Lines of reference files that are not blank, as they are, numbered anew from 1; files that are not there have none."""
+    own = text_lines(spark, paths)
+    return own.select("path", F.row_number().over(W.partitionBy("path").orderBy("pos")).cast("long").alias("line_no"), F.col("value").alias("text"))
