@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.llm import common as C
 from lexiloom.llm import exact_dedup, jaccard_join, packing, pii, quality, sentencepiece_codec, suffix_repeats, token_counts, top_k, word_repeats
 from lexiloom.llm.queries import tokenizer
 
@@ -66,6 +67,31 @@ def test_token_counts(spark, rows):
     assert got(token_counts.token_counts(frame(spark, rows), BYTES)) == sorted(brute.counts(rows, BYTES))
 
 
+def test_frequent_words_cover_all_rows(spark, monkeypatch):
+    """Rows in order of their language, most words once: what is frequent in the last rows only is found, over several rounds of merging."""
+    monkeypatch.setattr(token_counts, "FIRST_BYTES", 64)
+    monkeypatch.setattr(token_counts, "FAN_IN", 3)
+    rare = lambda i: " ".join(f"r{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(i, rare(i) + (" late" * 20 if i >= 60 else " early" * 30)) for i in range(80)]
+    docs = C.texts(frame(spark, rows).repartitionByRange(12, "doc_id"))
+    exact = token_counts.frequent_words(docs, BYTES, entries=2)
+    assert exact == [b" early", b" late"]
+    assert set(token_counts.frequent_words(docs, BYTES, kept=16)) >= {b" early", b" late"}  # 5 % of all words, and more
+    assert token_counts.frequent_words(docs.where("false"), BYTES) == []
+
+
+def test_summary_is_never_short_by_more_than_its_share():
+    rnd, summary, plain = random.Random(3), token_counts.Summary(20), {}
+    for _ in range(200):
+        words = [b"%d" % min(int(rnd.paretovariate(0.7)), 5000) for _ in range(30)]
+        summary.add(words, [1] * len(words))
+        for w in words:
+            plain[w] = plain.get(w, 0) + 1
+    summary.cut()
+    assert len(summary.counts) <= 20
+    assert all(n - sum(plain.values()) / 20 <= summary.counts.get(w, 0) <= n for w, n in plain.items())
+
+
 def test_packing(spark, rows):
     brute.check_packing(rows, got(packing.packed(frame(spark, rows), BYTES)), BYTES)
 
