@@ -262,7 +262,8 @@ def _requests(u: Units, buckets: int) -> Callable:
             cut = cut_units(u, raw, bounds)
             cuts.append((at, raw, bounds, cut, super_kmers(u, cut)))
             cut.codes = None
-        every = np.unique(np.concatenate([k[3] & ~LOW for *_, k in cuts]))
+        every = np.sort(np.concatenate([k[3] & ~LOW for *_, k in cuts]))
+        every = every[np.r_[True, every[1:] != every[:-1]]] if len(every) else every
         _, lo, hi = _by_bucket(every, buckets)
         if not len(every):
             return messages([], [], [], [])
@@ -324,7 +325,8 @@ def _requests(u: Units, buckets: int) -> Callable:
         b, lo, hi = _by_bucket(gram[order], buckets)
         columns = dict(rows=row, starts=first, counts=count, ids=own, grams=gram, places=place, sizes=sizes)
         fields = lambda at, kinds: [columns[c][at].astype(kind) for c, kind in kinds]
-        out = [packed(fields(order[x:y], FIELDS), C.squeeze(data[C.ragged(begins[order[x:y]], sizes[order[x:y]])])) for x, y in zip(lo, hi, strict=True)]
+        going, flat, ends = fields(order, FIELDS), data[C.ragged(begins[order], sizes[order])], np.r_[0, np.cumsum(sizes[order])]
+        out = [packed([c[x:y] for c in going], C.squeeze(flat[ends[x] : ends[y]])) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
         to, whole, me = b.tolist(), [True] * len(b), key[0].as_py()
         if len(stay):  # known without the bucket's answer, which passes them on
             out.append(packed(fields(stay, FIELDS[:3])))

@@ -2,7 +2,8 @@
 
 In a minimiser's bucket, suffixes of the packed strings that share the minimiser are sorted: prefix
 polynomial hashes (modulo 2^64) give the hash of any substring, a binary search over lengths finds how far
-two suffixes agree, and the next byte decides, so a comparison takes a logarithmic number of steps. Whole
+two suffixes agree, and the next byte decides, so a comparison takes a logarithmic number of steps. Suffixes are
+dealt by their first 16 bytes before, so merges start from those that agree so far. Whole
 strings are sorted first; only where a minimiser has several distinct strings are their windows sorted
 too. Neighbours in the order that agree for a whole window are compared byte by byte, so equal hashes of
 different bytes never count; a bucket in which that ever fails is sorted by its bytes.
@@ -63,14 +64,26 @@ class Hashes:
         return np.where(inside, a < b, sp < sq), ~inside & (sp == sq)
 
 
+def leading(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each suffix as a number in their order; zeros stand for what a shorter one lacks."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(8):
+        own = data[np.minimum(starts + i, len(data) - 1)]
+        out = out << np.uint64(8) | np.where(i < sizes, own, np.uint8(0)).astype(np.uint64)
+    return out
+
+
 def merge_sort(h: Hashes, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of the suffixes by group, then by their bytes: a bottom-up merge in all groups at once."""
-    order = np.argsort(group, kind="stable")
-    g = group[order]
-    head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    count = np.diff(np.r_[head, len(g)])
+    """Order of the suffixes by group, then by their bytes: dealt by the first 16, then a bottom-up merge of those that agree there, all at once."""
+    keys = leading(h.data, starts + 8, sizes - 8), leading(h.data, starts, sizes), group
+    order = np.lexsort(keys)
+    new = np.zeros(max(len(order) - 1, 0), bool)
+    for k in keys:
+        new |= k[order[1:]] != k[order[:-1]]
+    head = np.flatnonzero(np.r_[True, new])
+    count = np.diff(np.r_[head, len(order)])
     base, own = np.repeat(head, count), np.repeat(count, count)
-    local = np.arange(len(g)) - base
+    local = np.arange(len(order)) - base
     width, most = 1, int(count.max()) if len(count) else 0
     while width < most:
         live = np.flatnonzero(own > width)
@@ -123,7 +136,28 @@ def _least(code: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes of strings that are sorted together, whole minimisers each; what a comparison reads stays in the processor's cache.
+PART_BYTES = 1 << 20
+
+
 def resolve(u: Units, s: Strings) -> np.ndarray:
+    order = np.argsort(s.grams, kind="stable")
+    ends = np.cumsum(s.sizes[order])
+    heads = np.flatnonzero(np.r_[True, s.grams[order][1:] != s.grams[order][:-1]])
+    before = np.r_[0, ends][heads]  # bytes before each minimiser's strings
+    windows = np.cumsum(s.counts) - s.counts
+    out, at = np.empty(int(s.counts.sum()), np.int64), 0
+    while at < len(heads):
+        stop = max(at + 1, int(np.searchsorted(before, before[at] + PART_BYTES, "right")) - 1) if ends[-1] - before[at] > PART_BYTES else len(heads)
+        own = order[heads[at] : heads[stop] if stop < len(heads) else len(order)]
+        sizes, counts = s.sizes[own], s.counts[own]
+        part = Strings(s.ids[own], counts, s.grams[own], s.places[own], np.cumsum(sizes) - sizes, sizes, s.data[C.ragged(s.begins[own], sizes)])
+        out[C.ragged(windows[own], counts)] = _resolve(u, part)
+        at = stop
+    return out
+
+
+def _resolve(u: Units, s: Strings) -> np.ndarray:
     h = Hashes(s.data)
     code = classes(h, s.begins, s.sizes, s.grams)
     least = _least(code, s.ids)

@@ -208,6 +208,42 @@ def test_merge_sort_is_sorted():
     assert keys == sorted(keys)
 
 
+def test_merges_start_from_suffixes_that_agree(monkeypatch):
+    """Suffixes of one group that differ at once need no comparison of hashes, and equal ones a few each."""
+    rnd = np.random.default_rng(2)
+    data, done = rnd.integers(97, 123, 1 << 15).astype(np.uint8), []
+    plain = suffix_repeats.Hashes.less
+    monkeypatch.setattr(suffix_repeats.Hashes, "less", lambda self, p, *rest: done.append(len(p)) or plain(self, p, *rest))
+    starts = np.r_[rnd.permutation(len(data) - 60)[:4000], [7, 7, 7]]
+    sizes = np.full(len(starts), 50)
+    order = suffix_repeats.merge_sort(suffix_repeats.Hashes(data), starts, sizes, np.zeros(len(starts), np.int64))
+    keys = [data[starts[i] : starts[i] + 50].tobytes() for i in order]
+    assert keys == sorted(keys) and sum(done) < len(starts)
+
+
+def test_minimisers_are_sorted_in_parts(monkeypatch):
+    """A bucket's strings are hashed some minimisers at a time, and windows get what all at once would give them."""
+    from lexiloom.llm import repeats
+
+    rnd = np.random.default_rng(3)
+    texts = [rnd.integers(97, 99, 20).astype(np.uint8) for _ in range(40)]
+    data = [np.r_[rnd.integers(97, 99, 5), texts[i % 40], rnd.integers(97, 99, 30)].astype(np.uint8) for i in range(400)]
+    sizes = np.full(400, 55)
+    s = repeats.Strings(rnd.permutation(400), np.full(400, 6, np.uint8).astype(np.int64), np.arange(400).astype(np.uint64) % 40, np.full(400, 5), np.cumsum(sizes) - sizes, sizes, np.concatenate(data))
+    u, built = repeats.Units(False, 50, 20), []
+    plain = suffix_repeats.Hashes.__init__
+    monkeypatch.setattr(suffix_repeats.Hashes, "__init__", lambda self, data: built.append(len(data)) or plain(self, data))
+    whole = suffix_repeats.resolve(u, s)
+    monkeypatch.setattr(suffix_repeats, "PART_BYTES", 2000)
+    built.clear()
+    assert np.array_equal(suffix_repeats.resolve(u, s), whole) and sum(built) == len(s.data) and max(built) <= 2000
+    least = {}
+    for i in sorted(range(400), key=lambda i: s.ids[i]):
+        for k in range(6):
+            least.setdefault((i % 40, data[i][k : k + 50].tobytes()), s.ids[i])
+    assert whole.tolist() == [least[i % 40, data[i][k : k + 50].tobytes()] for i in range(400) for k in range(6)]
+
+
 def test_jaccard(spark, rows):
     assert got(jaccard_join.linked(frame(spark, rows))) == sorted(brute.components(rows))
 
