@@ -76,6 +76,36 @@ class Tables:
             pass
 
 
+#: Marks that are broadcast at most, some 80 bytes each; beyond that whole rows are exchanged by their marks.
+SENT_ROWS = 1 << 21
+
+
+def mark(docs: DataFrame) -> Column:
+    """Two hashes of all columns of a row, the second one of which nulls are missing as well: equal for equal rows, whenever they are read."""
+    return F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(1), *docs.columns, *(F.col(c).isNull() for c in docs.columns)).alias("b"))
+
+
+def steady(docs: DataFrame, tables: Tables) -> DataFrame:
+    """docs, through a table if reading it again could give other rows."""
+    return docs if docs._jdf.queryExecution().analyzed().deterministic() else tables.written(docs, "whole")
+
+
+def rest(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose mark is in gone (mark, one), but one of those of each mark where `one`.
+
+    docs is read again rather than copied, and its rows stay in their partitions, so nothing is written and no text
+    is exchanged, but for rows of which equal ones are gone. With more marks than SENT_ROWS all rows are exchanged.
+    """
+    marks, ones = gone.agg(F.count("*"), F.count(F.when(F.col("one"), 1))).first()
+    sent = F.broadcast if marks <= SENT_ROWS else lambda df: df
+    rows = docs.select(F.struct(*docs.columns).alias("row"), mark(docs).alias("mark"))
+    out = rows.join(sent(gone.select("mark")), "mark", "left_anti").select("row.*")
+    if ones:
+        again = rows.join(sent(gone.where("one").select("mark")), "mark", "left_semi")
+        out = out.union(again.groupBy("mark").agg(F.first("row").alias("row")).select("row.*"))
+    return out
+
+
 #: What the optimizer says when it knows nothing is over this.
 UNKNOWN_BYTES = 1 << 52
 

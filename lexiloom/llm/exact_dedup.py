@@ -76,7 +76,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that tie in length and id the one of smallest hash of all columns."""
     tables = C.Tables(docs.sparkSession, "exact")
-    whole = C.texts(docs, id_col, text_col, F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("tie"))
-    rows = tables.written(digests(whole), "rows")
-    found = _with_groups(rows, tables)
-    return tables.only(found.where(F.col("size").isNull() | (F.col("key") == F.col("best.key"))).select("row.*"))
+    docs = C.steady(docs, tables)
+    rows = tables.written(digests(C.texts(docs, id_col, text_col, C.mark(docs).alias("tie"))), "rows")
+    gone = _with_groups(rows, tables).where(F.col("size").isNotNull() & (F.col("key") != F.col("best.key")))
+    gone = tables.written(gone.select(F.col("tie").alias("mark"), (F.col("tie") == F.col("best.tie")).alias("one")).distinct(), "gone")
+    tables.drop("rows", "groups")
+    return C.rest(docs, gone)

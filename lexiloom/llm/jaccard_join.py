@@ -7,8 +7,9 @@
    nothing; the others' sets are written.
 3. Linking sets share an n-gram within their prefixes in the global order. Nodes of a prefix group are
    paired with the group's most shared member first; groups of a few nodes give all their pairs.
-4. The hash space of the n-grams is cut into fragments. Each fragment counts the overlap of each candidate pair
-   in its part only; partial counts are summed per pair, and the sum decides the link exactly.
+4. The hash space of the n-grams is cut into fragments, by the bytes of the sets that are written and not by those of
+   the input. Each fragment counts the overlap of each candidate pair in its part only; partial counts are summed
+   per pair, and the sum decides the link exactly.
 5. Components follow by spreading the smallest node. Then members of a prefix group that are still in different
    components meet: as long as that is much work, each meets a further member of the first component; then
    whatever is left is paired in blocks of a bounded size by n-gram and size of the set (sizes of linking sets
@@ -41,6 +42,7 @@ from .repeats import Units, cut_units, grams_of, grid, mix
 FEW = 8  # groups of so many nodes give all their pairs at once
 PIVOTS, EASY = 4, 1 << 28  # further members that a large group meets at most, while more comparisons than this are left
 MEETING = 4096  # rows of a block of the last meetings
+FRAGMENTS, FRAGMENT_BYTES = 32, 8 << 20  # fragments at least, and bytes of sets in one: a pair is counted in each that holds a part of it
 LOW32 = np.uint64(0xFFFFFFFF)
 UNITS = Units(words=True, k=1, m=1)
 SETS = "chunk int, node long, n_shingles long, grams binary"
@@ -391,7 +393,7 @@ def linked(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
     many = prefix.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
     prefix = tables.written(prefix.join(many, "gram"), "shared")
     tables.drop("prefixes")
-    fragments = int(chunks)
+    fragments = max(FRAGMENTS, (held.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) // FRAGMENT_BYTES)
     segments = tables.written(held.groupBy("chunk").applyInArrow(_segments(fragments), "fragment int, nodes binary, grams binary"), "segments")
     labels = tables.written(held.select("node", F.col("node").alias("label")), "nodes")
     # at the first n-gram that two sets share, what follows bounds their overlap; elsewhere the pair is met already
@@ -455,12 +457,13 @@ def one_each(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_
     Rows without n-grams all stay.
     """
     tables = C.Tables(docs.sparkSession, "jaccard-rows")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("key"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
-    own = tables.written(own, "whole-rows")
+    docs = C.steady(docs, tables)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), C.mark(docs).alias("tie"))
     inner = C.Tables(docs.sparkSession, "jaccard")
-    found = inner.only(linked(own, percent, n, carry=("key", "tie"), tables=inner))
-    best = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "key")).alias("best")).select("best.key")
-    stay = best.union(found.where("n_shingles = 0").select("key"))
-    out = tables.only(own.join(stay, "key", "left_semi").select("row.*"))
+    found = inner.only(linked(own, percent, n, carry=("tie",), tables=inner)).where("n_shingles > 0")
+    rows = found.groupBy("label", "doc_id", "tie").agg(F.count("*").alias("copies"))
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("best"), F.sum("copies").alias("all")).where("all > 1")
+    gone = rows.join(best, "label").select(F.col("tie").alias("mark"), (F.col("tie") == F.col("best.tie")).alias("one"), "copies").where("not one or copies > 1")
+    gone = tables.written(gone.select("mark", "one"), "gone")
     inner.drop("result")
-    return out
+    return C.rest(docs, gone)

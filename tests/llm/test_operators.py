@@ -248,6 +248,15 @@ def test_jaccard(spark, rows):
     assert got(jaccard_join.linked(frame(spark, rows))) == sorted(brute.components(rows))
 
 
+def test_fragments_follow_the_sets_and_not_the_input(spark, rows, monkeypatch):
+    """Each fragment gives a row a pair, so more chunks of the input must not give more of them."""
+    seen, plain = [], jaccard_join._segments
+    monkeypatch.setattr(jaccard_join, "grid", lambda docs: (70, 64))
+    monkeypatch.setattr(jaccard_join, "_segments", lambda fragments: seen.append(fragments) or plain(fragments))
+    assert got(jaccard_join.linked(frame(spark, rows))) == sorted(brute.components(rows))
+    assert seen == [jaccard_join.FRAGMENTS] and seen[0] < 70
+
+
 def test_jaccard_large_group(spark):
     rnd = random.Random(5)
     base = [f"w{rnd.randrange(10_000)}" for _ in range(150)]

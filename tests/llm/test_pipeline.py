@@ -9,7 +9,7 @@ import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lexiloom.llm import quality
+from lexiloom.llm import common, quality
 from lexiloom.llm.queries import tokenizer
 
 
@@ -89,3 +89,27 @@ def test_quality_stage_keeps_rows_as_they_are(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     df = odd(spark, ROWS)  # without labels every score is 1/2
     assert sorted(map(str, corpus_pipeline.keep_good(spark, df, str(tmp_path)).collect())) == sorted(map(str, df.collect()))
+
+
+def test_dedup_stages_neither_copy_nor_exchange_texts(spark, monkeypatch):
+    twins = [(30, "a b c d e f g", None, "x", 13), (30, "a b c d e f g", "x", None, 13), (30, "a b c d e f g", "x", None, 13), (31, None, "q", None, None), (31, "q", None, None, None), (31, "q", None, None, None)]
+    df, written = odd(spark, ROWS + twins), []
+    plain = common.Tables.written
+    monkeypatch.setattr(common.Tables, "written", lambda self, df, name: written.extend((name, c) for c, kind in df.dtypes if "string" in kind) or plain(self, df, name))
+    monkeypatch.setattr(common, "SENT_ROWS", 1000)
+    shown = lambda out: sorted(map(str, out.collect()))
+    one = {}
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        out = stage(spark, df, "")
+        assert out.columns == df.columns and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        one[stage] = shown(out)
+    assert not written
+    texts = sorted((r["text"] or "").replace(" ", "") for r in corpus_pipeline.drop_copies(spark, df, "").collect())
+    assert texts == sorted({(r[1] or "").replace(" ", "") for r in ROWS + twins})
+    # the same rows where there are too many marks to broadcast
+    monkeypatch.setattr(common, "SENT_ROWS", 0)
+    for stage, rows in one.items():
+        assert shown(stage(spark, df, "")) == rows
+    # a table that would be another when it is read again is written first
+    drawn = df.withColumn("draw", F.rand())
+    assert corpus_pipeline.drop_copies(spark, drawn, "").count() == len(texts) and any(name == "whole" for name, _ in written)
