@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,3 +81,8 @@ def without_marks(part: Column) -> Column:
 def other_ending(core: Column, ending: str = ENDING, instead: str = INSTEAD) -> Column:
     """The word with the other ending; null where it doesn't end so, or is the ending alone."""
     return F.when(core.endswith(ending) & (F.length(core) > len(ending)), F.concat(core.substr(F.lit(1), F.length(core) - len(ending)), F.lit(instead)))
+
+
+def word_with(ending: str) -> re.Pattern[str]:
+    """Matches a word without its marks where it ends so and is more than the ending; Python's blanks are those of parts()."""
+    return re.compile(rf"(?<!\S)\S+?(?<=\S{re.escape(ending)})(?<!{MARKS})(?={MARKS}*(?:\s|\Z))")

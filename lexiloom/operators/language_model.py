@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
+from pyspark.sql import Window as W
 
 from ..functions import rewrite, text as T
+from . import lookup
 
 #: Fixed value: what stands before the first character.
 BEGIN = "\u0002"
 #: Characters in a piece of a line, coarse to fine; no result depends on them.
 PIECES = (2048, 64)
-#: Characters that a task counts at once.
-BUFFER = 1 << 22
+#: Characters of a line that one row has at most; no result depends on it.
+PIECE = 1 << 20
 
 
 def positions(lines: DataFrame, order: int, *keys: str) -> DataFrame:
@@ -30,49 +33,50 @@ def positions(lines: DataFrame, order: int, *keys: str) -> DataFrame:
     return own.select(*keys, F.substring("p", F.col("i"), F.lit(order - 1)).alias("ctx"), F.substring("p", F.col("i") + order - 1, F.lit(1)).alias("ch"))
 
 
-def _grams(lines: list[pa.Array], order: int) -> pa.RecordBatch:
-    """ctx, ch, n of some lines: windows become numbers in the base of the characters at hand, and are sorted."""
-    own = pa.concat_arrays(lines)
-    sizes = pc.utf8_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
-    pad = BEGIN * (order - 1)
-    codes = np.frombuffer((pad + pad.join(own.to_pylist())).encode("utf-32-le"), np.uint32)
-    starts = np.cumsum(sizes + order - 1) - sizes - order + 1
-    chars, ids = np.unique(codes, return_inverse=True)
-    base, n = len(chars), len(codes) - order + 1
-    begins = np.ones(n, bool)  # of windows that end in a line's own character
+def pieces(lines: DataFrame, order: int, *keys: str) -> DataFrame:
+    """keys, p: each line that is not empty, after order - 1 marks of its begin. Lines longer than PIECE go in several rows, each after the characters before it."""
+    own = lines.where(F.length("line") > 0).select(*keys, F.concat(F.lit(BEGIN * (order - 1)), F.col("line")).alias("p"))
+    starts = F.sequence(F.lit(1), F.length("p") - (order - 1), F.lit(PIECE))
+    cut = F.transform(starts, lambda i: F.substring(F.col("p"), i, F.lit(PIECE + order - 1)))
+    return own.select(*keys, F.explode(F.when(F.length("p") < PIECE + order, F.array("p")).otherwise(cut)).alias("p"))
+
+
+def _windows(own: list[str], order: int) -> tuple[np.ndarray, np.ndarray, str]:
+    """Of pieces: the number of each window in turn, the windows that each piece has, and the distinct windows by number as one text."""
+    sizes = np.fromiter(map(len, own), np.int64, len(own))
+    codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)
+    place = np.zeros(int(codes.max()) + 1, np.int64)
+    place[codes] = 1
+    base = int(place.sum())
+    place[place > 0] = np.arange(base)
+    ids = place[codes]
+    begins, ends = np.ones(len(codes), bool), np.cumsum(sizes)
+    for k in range(1, order):
+        begins[ends - k] = False
+    at = np.flatnonzero(begins)
+    key, size = ids[at], base
     for k in range(1, order):
-        begins[starts[1:] - k] = False
-    if base**order < 1 << 63:
-        key = np.zeros(n, np.int64)
-        for k in range(order):
-            key = key * base + ids[k : k + n]
-        key, count = np.unique(key[begins], return_counts=True)
-        cells = np.empty((len(key), order), np.int64)
-        for k in range(order - 1, -1, -1):
-            key, cells[:, k] = np.divmod(key, base)
-    else:
-        cells, count = np.unique(np.lib.stride_tricks.sliding_window_view(ids, order)[begins], axis=0, return_counts=True)
-    text = chars[cells].astype("<u4")
-    whole = np.ascontiguousarray(text).tobytes().decode("utf-32-le")
-    return pa.RecordBatch.from_arrays([pa.array([whole[i : i + order - 1] for i in range(0, len(whole), order)], pa.string()), pa.array(list(whole[order - 1 :: order]), pa.string()), pa.array(count, pa.int64())], ["ctx", "ch", "n"])
+        if size * base >= 1 << 62:  # windows so far are numbered anew
+            key, seen = pd.factorize(key)
+            size = len(seen)
+        key, size = key * base + ids[at + k], size * base
+    number, seen = pd.factorize(key)
+    first = np.empty(len(seen), np.int64)
+    first[number[::-1]] = at[::-1]
+    text = codes[first[:, None] + np.arange(order)]
+    return number, sizes - order + 1, np.ascontiguousarray(text).astype("<u4").tobytes().decode("utf-32-le")
 
 
 def longest(lines: DataFrame, order: int) -> DataFrame:
-    """ctx, ch, n for contexts of order - 1 characters. Each task counts a buffer of lines at a time, so only distinct windows travel."""
+    """ctx, ch, n for contexts of order - 1 characters. Each task counts some MB of lines at a time, so only distinct windows travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch.column(0))
-            size += batch.column(0).nbytes
-            if size >= BUFFER:
-                yield _grams(held, order)
-                held, size = [], 0
-        if held:
-            yield _grams(held, order)
+        for batch in lookup.parts(batches):
+            number, _, whole = _windows(batch.column("p").to_pylist(), order)
+            text = [pa.array([whole[i : i + order - 1] for i in range(0, len(whole), order)], pa.string()), pa.array(list(whole[order - 1 :: order]), pa.string())]
+            yield pa.RecordBatch.from_arrays([*text, pa.array(np.bincount(number), pa.int64())], ["ctx", "ch", "n"])
 
-    own = lines.where(F.length("line") > 0).select("line")
-    return own.mapInArrow(run, "ctx string, ch string, n long").groupBy("ctx", "ch").agg(F.sum("n").alias("n"))
+    return pieces(lines, order).mapInArrow(run, "ctx string, ch string, n long").groupBy("ctx", "ch").agg(F.sum("n").alias("n"))
 
 
 def counts(lines: DataFrame, order: int) -> DataFrame:
@@ -90,35 +94,59 @@ def sizes(counted: DataFrame) -> DataFrame:
     return counted.groupBy("k", "ctx").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("k") == 0, F.col("n"))), F.lit(0)).alias("vocabulary"), F.count("*").alias("contexts"))
 
 
-def vocabulary_size(counted: DataFrame) -> int:
-    return max(1, counted.where("k = 0").count())
+def log_probabilities(pairs: DataFrame | None, counted: DataFrame, order: int, discount: float) -> DataFrame:
+    """ctx, ch, lp of distinct pairs (None: those of the model): from 1 / (V + 1), each known context interpolates with weight N / (N + discount).
+
+    A pair takes the probability of the one that is a character shorter, from the shortest on. Rows of a level
+    are distinct, so a key has no more rows than there are characters.
+    """
+    own = counted.where(F.col("k") == order - 1).select("ctx", "ch", "n", F.lit(pairs is None).alias("asked"))
+    if pairs is not None:
+        own = own.unionByName(pairs.select("ctx", "ch", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+    each = own.select(F.explode(F.sequence(F.lit(0), F.lit(order - 1))).alias("k"), "ctx", "ch", "n", "asked").withColumn("ctx", F.expr("right(ctx, k)"))
+    cells = each.groupBy("k", "ctx", "ch").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    known = W.partitionBy("k", "ctx")
+    cells = cells.select("*", F.sum("n").over(known).alias("total"), F.count(F.when(F.col("n") > 0, 1)).over(known).alias("kinds")).where("asked")
+    weight = F.col("total") / (F.col("total") + discount)
+    step = lambda p: F.when(F.col("total") > 0, F.col("n") / (F.col("total") + discount) + (1 - weight) * p).otherwise(p)
+    out = cells.where("k = 0").select("ctx", "ch", step(1.0 / (F.greatest(F.lit(1), F.col("kinds")) + 1)).alias("p"))
+    for k in range(1, order):
+        shorter = out.select(F.col("ctx").alias("up"), "ch", F.col("p").alias("q"))
+        level = cells.where(F.col("k") == k).select(F.expr(f"right(ctx, {k - 1})").alias("up"), "ctx", "ch", "n", "total")
+        out = level.join(shorter, ["up", "ch"]).select("ctx", "ch", step(F.col("q")).alias("p"))
+    return out.select("ctx", "ch", F.when(F.col("p") > 0, F.log("p")).otherwise(-30.0).alias("lp"))
+
+
+def score(lines: DataFrame, counted: DataFrame, order: int, discount: float, *keys: str, of_model: bool = False) -> DataFrame:
+    """keys, lp: summed log probability of each line. Each distinct (context, character) is scored once, and asked for once by each few MB of lines.
 
+    of_model: the lines are those that were counted.
+    """
+    scores = log_probabilities(None if of_model else longest(lines, order), counted, order, discount)
+    own = pieces(lines, order, *keys)
 
-def log_probabilities(pairs: DataFrame, counted: DataFrame, order: int, discount: float) -> DataFrame:
-    """ctx, ch, lp of distinct pairs: from 1 / (V + 1), each known context interpolates with weight N / (N + discount)."""
-    size = vocabulary_size(counted)
-    own = pairs.select("ctx", "ch").distinct()
-    each = own.select(F.col("ctx").alias("full"), "ch", F.explode(F.sequence(F.lit(0), F.lit(order - 1))).alias("k")).withColumn("ctx", F.expr("right(full, k)"))
-    known = each.join(totals(counted), ["k", "ctx"]).join(counted, ["k", "ctx", "ch"], "left").select("full", "ch", F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "total").alias("s"))
-    levels = known.groupBy("full", "ch").agg(F.array_sort(F.collect_list("s")).alias("levels"))
-    step = lambda p, s: s["n"] / (s["total"] + discount) + (1 - s["total"] / (s["total"] + discount)) * p
-    p = F.aggregate("levels", F.lit(1.0 / (size + 1)), step)
-    return levels.select(F.col("full").alias("ctx"), "ch", F.when(p > 0, F.log(p)).otherwise(-30.0).alias("lp"))
+    def ask(batch: pa.RecordBatch) -> pa.Array:
+        whole = _windows(batch.column("p").to_pylist(), order)[2]
+        return pa.array([whole[i : i + order] for i in range(0, len(whole), order)], pa.string())
 
+    def answer(batch: pa.RecordBatch, values: pa.Array) -> pa.RecordBatch:
+        number, sizes, _ = _windows(batch.column("p").to_pylist(), order)
+        lp = np.add.reduceat(values.to_numpy(zero_copy_only=False)[number], np.cumsum(sizes) - sizes)
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(lp)], [*keys, "lp"])
 
-def score(lines: DataFrame, counted: DataFrame, order: int, discount: float, *keys: str) -> DataFrame:
-    """keys, lp: summed log probability of each line. Each distinct (context, character) is scored once."""
-    at = positions(lines, order, *keys)
-    grouped = at.groupBy(*keys, "ctx", "ch").agg(F.count("*").alias("times"))
-    return grouped.join(log_probabilities(longest(lines, order), counted, order, discount), ["ctx", "ch"]).groupBy(*keys).agg(F.sum(F.col("times") * F.col("lp")).alias("lp"))
+    schema = types.StructType([*own.select(*keys).schema.fields, types.StructField("lp", types.DoubleType())])
+    each = lookup.looked_up(own, scores.select(F.concat("ctx", "ch").alias("w"), F.col("lp").alias("value")), ask, answer, schema)
+    return each.groupBy(*keys).agg(F.sum("lp").alias("lp"))
 
 
 def gated(candidates: DataFrame, counted: DataFrame, order: int, discount: float, *keys: str) -> DataFrame:
-    """keys, chosen of every row: the second of (first, second) where its score is strictly higher. Each distinct line is scored once."""
-    lines = candidates.select(F.explode(F.array("first", "second")).alias("line")).distinct()
-    scored = score(lines, counted, order, discount, "line")
-    each = candidates.join(scored.select(F.col("line").alias("first"), F.col("lp").alias("lp_first")), "first", "left").join(scored.select(F.col("line").alias("second"), F.col("lp").alias("lp_second")), "second", "left")
-    return each.select(*keys, F.when(F.col("lp_second") > F.col("lp_first"), F.col("second")).otherwise(F.col("first")).alias("chosen"))
+    """keys, chosen of every row: the second of (first, second) where its score is strictly higher. Each distinct pair is scored once."""
+    both = F.array(*(F.struct(F.lit(c == "second").alias("later"), F.col(c).alias("line")) for c in ("first", "second")))
+    lines = candidates.select("first", "second").distinct().select("first", "second", F.inline(both))
+    lp = lambda later: F.max(F.when(F.col("later") == later, F.col("lp"))).alias(f"lp_{later}".lower())
+    scored = score(lines, counted, order, discount, "first", "second", "later").groupBy("first", "second").agg(lp(False), lp(True))
+    each = candidates.join(scored, ["first", "second"], "left")
+    return each.select(*keys, F.when(F.col("lp_true") > F.col("lp_false"), F.col("second")).otherwise(F.col("first")).alias("chosen"))
 
 
 def model_lines(df: DataFrame, *keys: str) -> DataFrame:
@@ -128,18 +156,31 @@ def model_lines(df: DataFrame, *keys: str) -> DataFrame:
 def word_endings(lines: DataFrame, counted: DataFrame, order: int, discount: float, *keys: str, ending: str = rewrite.ENDING, instead: str = rewrite.INSTEAD) -> DataFrame:
     """keys, line: a word's ending, marks after it aside, gives way to the other one where the model scores that word strictly higher.
 
-    Keys tell rows apart. Only lines with such a word are cut and put together again, and a distinct word is scored
-    once; blanks stay as they are, a null line stays null.
+    Lines are never cut in rows of words: a distinct word is scored once, and asked for once by each few MB of lines.
+    Blanks stay as they are, a null line stays null.
     """
-    of = lambda part: rewrite.other_ending(rewrite.without_marks(part), ending, instead)
-    asked = F.coalesce(F.exists(rewrite.parts(F.col("line")), lambda x: of(x).isNotNull()), F.lit(False))
-    cut = lines.where(asked).select(*keys, F.posexplode(rewrite.parts(F.col("line"))).alias("_at", "_part"))
-    cut = cut.select(*keys, "_at", "_part", rewrite.without_marks(F.col("_part")).alias("first"), of(F.col("_part")).alias("second"))
-    chosen = gated(cut.where("second is not null").select("first", "second").distinct(), counted, order, discount, "first")
-    new = F.concat(F.coalesce("chosen", "first"), F.col("_part").substr(F.length("first") + 1, F.length("_part")))
-    whole = cut.join(chosen, "first", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", new.alias("new")))).alias("_parts"))
-    joined = whole.select(*keys, F.array_join(F.transform("_parts", lambda x: x["new"]), "").alias("line"))
-    return lines.where(~asked).select(*keys, "line").unionByName(joined)
+    asked = F.coalesce(F.contains("line", F.lit(ending)), F.lit(False))
+    own = lines.where(asked).select(*keys, "line")
+    core = rewrite.word_with(ending)
+
+    def words(batch: pa.RecordBatch) -> list[str]:
+        return list(dict.fromkeys(w for x in batch.column("line").to_pylist() for w in core.findall(x)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lookup.parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(words(batch), pa.string())], ["first"])
+
+    first = lines.where(asked).select("line").mapInArrow(run, "first string").distinct()
+    pairs = first.select("first", rewrite.other_ending(F.col("first"), ending, instead).alias("second"))
+    changed = gated(pairs, counted, order, discount, "first").where("chosen <> first").select(F.col("first").alias("w"), F.col("chosen").alias("value"))
+
+    def answer(batch: pa.RecordBatch, values: pa.Array) -> pa.RecordBatch:
+        new = {w: v or w for w, v in zip(words(batch), values.to_pylist(), strict=True)}
+        line = [core.sub(lambda m: new[m[0]], x) for x in batch.column("line").to_pylist()]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(line, pa.string())], [*keys, "line"])
+
+    done = lookup.looked_up(own, changed, lambda batch: pa.array(words(batch), pa.string()), answer, own.schema)
+    return lines.where(~asked).select(*keys, "line").unionByName(done)
 
 
 def fixed_lines(lines: DataFrame, counted: DataFrame, order: int, discount: float, *keys: str) -> DataFrame:

@@ -570,7 +570,7 @@ _JOINS = " ".join(f"JOIN c c{k} ON c{k}.k = {k} AND c{k}.ctx = substr(x.ctx, {OR
  SELECT conv_id, turn, round(sum(times * ln({_lp(ORDER - 1)})), 4) AS lp FROM x JOIN v ON true {_JOINS} GROUP BY conv_id, turn""")
 def lm_logp_lines(spark, sf_dir):
     rows = lm.model_lines(read(spark, sf_dir, "conversations"), "conv_id", "turn")
-    return lm.score(rows, _counts(spark, sf_dir), ORDER, DISCOUNT, "conv_id", "turn").withColumn("lp", F.round("lp", 4))
+    return lm.score(rows, _counts(spark, sf_dir), ORDER, DISCOUNT, "conv_id", "turn", of_model=True).withColumn("lp", F.round("lp", 4))
 
 
 def _known(level: int) -> str:
@@ -621,7 +621,7 @@ def lm_vocab_documents(spark, sf_dir):
 def lm_logp_lines_documents(spark, sf_dir):
     """Every line of every document, by document and line number."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
-    return lm.score(rows, _full_counts(spark, sf_dir), FULL_ORDER, FULL_DISCOUNT, "doc_id", "pos").withColumn("lp", F.round("lp", 4))
+    return lm.score(rows, _full_counts(spark, sf_dir), FULL_ORDER, FULL_DISCOUNT, "doc_id", "pos", of_model=True).withColumn("lp", F.round("lp", 4))
 
 
 @query()
