@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space as text tools strip it; Java's class lacks four separators.
 BLANK = r"(?U)[\s\x1c-\x1f]"
+#: The same as characters.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The default character set in order; index 0 is the blank, characters count from 1.
 DIGITS = "0123456789"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,7 +20,8 @@ BLOCK = (0x0D80, 0x0DFF)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    """Without the blanks at both ends; in time linear in the text, whatever runs of blanks are in it."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -73,18 +76,27 @@ def accuracy_pct(error_rate: Column) -> Column:
 
 @functools.cache
 def other_digits() -> str:
-    """Digits by their Unicode property that are no decimal digits."""
-    return "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal())
+    """Digits by their Unicode property that are no decimal digits, as ranges of a character class."""
+    found = [i for i in range(0x110000) if chr(i).isdigit() and not chr(i).isdecimal()]
+    starts = [i for i in found if i - 1 not in found]
+    ends = [i for i in found if i + 1 not in found]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
+def digits(c: Column) -> Column:
+    """Number of Unicode digits; superscripts and circled ones count, other numbers don't. What is no digit goes by runs, plain characters first."""
+    return F.length(F.regexp_replace(c, rf"[\x{{0}}-/:-\x{{7f}}]++|[^\p{{Nd}}{other_digits()}]++", ""))
 
 
 def digit_ratio(c: Column) -> Column:
-    """Share of Unicode digits; superscripts and circled ones count, other numbers don't."""
-    return F.length(F.regexp_replace(c, rf"[^\p{{Nd}}{other_digits()}]", "")) / F.greatest(F.lit(1), F.length(c))
+    """Share of digits()."""
+    return digits(c) / F.greatest(F.lit(1), F.length(c))
 
 
-def looks_like_garbage(c: Column, threshold: float = 0.4) -> Column:
-    own = strip(c)
-    return (F.length(own) > 0) & (digit_ratio(own) >= threshold)
+def looks_like_garbage(c: Column, threshold: float = 0.4, count: Column | None = None) -> Column:
+    """count: digits(c), where it is at hand; blanks at the ends hold none."""
+    size = F.length(strip(c))
+    return (size > 0) & ((digits(c) if count is None else count) / F.greatest(F.lit(1), size) >= threshold)
 
 
 def with_warning(c: Column, truth: Column, warning: str = "[?] ") -> Column:

@@ -117,7 +117,9 @@ def charset_round_trip(spark, sf_dir):
 
 @query(r"WITH l AS (SELECT doc_id, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, text FROM documents) SELECT doc_id, round(length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(1, length(text)), 9) AS digit_share, t <> '' AND length(regexp_replace(t, '[^0-9]', '', 'g')) / greatest(1, length(t)) >= 0.02 AS garbage FROM l")
 def digit_ratio_garbage(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.round(T.digit_ratio(F.col("text")), 9).alias("digit_share"), T.looks_like_garbage(F.col("text"), 0.02).alias("garbage"))
+    own = read(spark, sf_dir, "documents").select("doc_id", "text", T.digits(F.col("text")).alias("n"))
+    share = F.col("n") / F.greatest(F.lit(1), F.length("text"))
+    return own.select("doc_id", F.round(share, 9).alias("digit_share"), T.looks_like_garbage(F.col("text"), 0.02, F.col("n")).alias("garbage"))
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY md5('13|' || doc_id), doc_id LIMIT 100")

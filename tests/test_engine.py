@@ -144,3 +144,16 @@ def test_query(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_digits_and_blanks_take_time_in_line_with_the_text(spark):
+    """Runs of blanks inside a text, and long texts without a digit, were walked again and again."""
+    import time
+
+    texts = ["x" + " " * 300_000 + "7", "é" * 300_000 + "①", "  4a\x1c", " \t", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    began = time.time()
+    own = df.select("i", T.strip(F.col("t")), T.digits(F.col("t")), T.looks_like_garbage(F.col("t"), 0.4))
+    got = {r[0]: tuple(r)[1:] for r in own.collect()}
+    assert got == {0: (texts[0], 1, False), 1: (texts[1], 1, False), 2: ("4a", 1, True), 3: ("", 0, False), 4: ("", 0, False)}
+    assert time.time() - began < 30
