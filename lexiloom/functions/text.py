@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import distance
+
 #: Unicode white space as text tools strip it; Java's class lacks four separators.
 BLANK = r"(?U)[\s\x1c-\x1f]"
 #: The same as characters.
@@ -38,18 +40,13 @@ def characters(c: Column) -> Column:
 
 
 def edits(a: Column, b: Column) -> Column:
-    return F.when(a == b, 0).otherwise(F.levenshtein(a, b))
-
-
-def coded(ws: Column, distinct: Column) -> Column:
-    """Each word as one code point, equal words equal ones: word distance is then character distance."""
-    return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(distinct, w)), 4, "0")), "UTF-16BE")), "")
+    """Not for the body of a lambda, as it runs in Python."""
+    return distance.edits(a, b)
 
 
 def word_edits(a: Column, b: Column) -> Column:
-    """Word-level distance; a pair may hold some 35,000 distinct words."""
-    distinct = F.array_distinct(F.concat(a, b))
-    return F.when(a == b, 0).otherwise(F.levenshtein(coded(a, distinct), coded(b, distinct)))
+    """Word-level distance of two arrays."""
+    return distance.edits(a, b)
 
 
 def rate(errors: Column, size: Column, hypothesis_size: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import distance, text as T
 
 
 def align(ref: DataFrame, hyp: DataFrame, page: str = "page", line: str = "line_no") -> DataFrame:
@@ -24,9 +24,7 @@ def alignment_counts(ref: DataFrame, hyp: DataFrame, page: str = "page") -> Data
 def with_word_edits(pairs: DataFrame) -> DataFrame:
     """pairs with word_edits, ref_words and hyp_words (sizes); each step is a projection, so words are cut once."""
     cut = pairs.withColumns({"_a": T.words(F.col("ref")), "_b": T.words(F.col("hyp"))})
-    cut = cut.withColumn("_d", F.array_distinct(F.concat("_a", "_b")))
-    coded = cut.withColumns({"_x": T.coded(F.col("_a"), F.col("_d")), "_y": T.coded(F.col("_b"), F.col("_d")), "ref_words": F.size("_a"), "hyp_words": F.size("_b")})
-    return coded.withColumn("word_edits", T.edits(F.col("_x"), F.col("_y"))).drop("_a", "_b", "_d", "_x", "_y")
+    return cut.withColumns({"ref_words": F.size("_a"), "hyp_words": F.size("_b"), "word_edits": T.word_edits(F.col("_a"), F.col("_b"))}).drop("_a", "_b")
 
 
 def wer_of_pairs(pairs: DataFrame) -> DataFrame:
@@ -180,15 +178,18 @@ def run_report(predicted: Column, truth: Column, settings: dict[str, Column], ex
     head = arr(RULE, "EVALUATION METRICS", RULE, *named(settings), one("lines detected : %d", F.size(predicted)), *named(extra), THIN, "Full transcription", THIN)
     lines = F.transform(predicted, lambda t, i: F.concat(two(i + 1), F.lit(": "), t))
     n = F.least(F.size(truth), F.size(predicted))
-    pairs = F.slice(F.zip_with(truth, predicted, lambda a, b: F.struct(a.alias("ref"), b.alias("hyp"))), F.lit(1), n)
-    total = lambda f: F.aggregate(pairs, F.lit(0), lambda a, p: a + f(p).cast("int"))
-    words = lambda p, k: T.words(p[k])
-    c = total(lambda p: T.edits(p["ref"], p["hyp"])) / total(lambda p: F.greatest(F.lit(1), F.length(p["ref"])))
-    w = total(lambda p: T.word_edits(words(p, "ref"), words(p, "hyp"))) / total(lambda p: F.greatest(F.lit(1), F.size(words(p, "ref"))))
+    # each pair is compared once; Python's results come in beside the lambdas, which can't call it
+    made = distance.all_edits(truth, predicted)
+    counts = F.arrays_zip(*(made[c].alias(c) for c in distance.COUNTS))
+    pairs = F.zip_with(truth, predicted, lambda a, b: F.struct(a.alias("ref"), b.alias("hyp")))
+    pairs = F.zip_with(F.slice(pairs, F.lit(1), n), counts, lambda p, e: F.struct(p["ref"].alias("ref"), p["hyp"].alias("hyp"), *(e[c].alias(c) for c in distance.COUNTS)))
+    total = lambda f: F.aggregate(pairs, F.lit(0).cast("long"), lambda a, p: a + f(p))
+    c = total(lambda p: p["edits"]) / total(lambda p: F.greatest(F.lit(1), F.length(p["ref"])))
+    w = total(lambda p: p["word_edits"]) / total(lambda p: F.greatest(F.lit(1), p["ref_words"]))
     c, w = (F.when(n > 0, x).otherwise(0.0) for x in (c, w))
 
     def scored(p: Column, i: Column) -> Column:
-        lc, lw = T.cer(p["ref"], p["hyp"]), T.wer(p["ref"], p["hyp"])
+        lc, lw = T.rate(p["edits"], F.length(p["ref"]), F.length(p["hyp"])), T.rate(p["word_edits"], p["ref_words"], p["hyp_words"])
         first = one("%02d  CER=%.3f (%.1f%%)  WER=%.3f (%.1f%%)", i + 1, lc, T.accuracy_pct(lc), lw, T.accuracy_pct(lw))
         return F.when(p["ref"] == p["hyp"], first).otherwise(F.concat(first, F.lit("\n    GT: "), p["ref"], F.lit("\n    PR: "), p["hyp"]))
 

@@ -149,3 +149,20 @@ def test_charset_and_reference_lines(spark, tmp_path):
     assert sorted(map(tuple, readers.charset(spark, str(tmp_path / "c")).collect())) == [(1, "a"), (2, "b"), (3, "ක")]
     (tmp_path / "p.gt.txt").write_text("one \n\n  \ntwo\n")
     assert [tuple(r)[1:] for r in readers.gt_lines(spark, str(tmp_path / "p.gt.txt")).orderBy("line_no").collect()] == [(1, "one "), (2, "two")]
+
+
+def test_long_pairs_are_compared_by_bits(spark):
+    """30,000 characters a side, and more distinct words than a code point could stand for, in seconds; cells one by one would take minutes."""
+    import time
+
+    a = "".join(chr(97 + i * i % 23) for i in range(30_000))
+    b = "xy" + a[:14_000] + "q" + a[14_003:] + "zz"
+    words = " ".join(map(str, range(45_000)))
+    df = spark.createDataFrame([(a, b), (words, "x " + words), ("ab c", "ab  d"), ("", "q"), (None, "q")], "ref string, hyp string")
+    began = time.time()
+    one = df.where("length(ref) = 30000").select("ref", "hyp").withColumn("page", F.lit(1)).withColumn("line_no", F.lit(1)).withColumn("set", F.lit(0))
+    assert metrics.suite_cer(one, "page", "set").first()["edits"] == 7
+    assert [r["word_edits"] for r in metrics.with_word_edits(df.where("length(ref) <> 30000")).collect()] == [1, 1, 1]
+    report = df.where("ref is not null and length(ref) < 100").select(metrics.run_report(F.array("hyp", "hyp", "hyp"), F.array("ref", "hyp"), {}).alias("r")).collect()
+    assert "01  CER=0.500 (50.0%)  WER=0.500 (50.0%)" in report[0]["r"] and "02  CER=0.000 (100.0%)  WER=0.000 (100.0%)" in report[0]["r"]
+    assert time.time() - began < 60
