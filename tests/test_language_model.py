@@ -77,3 +77,24 @@ def test_long_lines_and_large_alphabets_are_counted_whole(spark):
     want = Plain(lines, 3, 2.0)
     got = lm.positions(own, 3).groupBy("ctx", "ch").count().collect()
     assert {(2, r["ctx"], r["ch"]): r["count"] for r in got} == {k: n for k, n in want.n.items() if k[0] == 2}
+
+
+def test_scores_take_no_job_while_planned_and_no_row_a_character(spark):
+    """A line longer than a piece, a character that the model has not seen, a repeated key, a null line."""
+    base = "the cat sat on a mat. "
+    long = base * (lm.PIECE // len(base) + 2)
+    train = [base, "a hen", "x"]
+    model = Plain(train, 3, 2.0)
+    counted = lm.counts(spark.createDataFrame([(x,) for x in train], "line string"), 3)
+    rows = spark.createDataFrame([(1, long), (2, "the ජ"), (2, "hen"), (3, None), (None, "x")], "id int, line string")
+    group = "plan of scores"
+    spark.sparkContext.setJobGroup(group, group)
+    scored = lm.score(rows, counted, 3, 2.0, "id")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 0
+    assert "explode(sequence(1" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    got = dict(map(tuple, scored.collect()))
+    want = {2: model.score("the ජ") + model.score("hen"), None: model.score("x")}
+    assert got.keys() == {1, 2, None} and all(abs(got[k] - x) < 1e-9 for k, x in want.items())
+    whole = model.score(base * 3) - model.score(base * 2)  # each further copy adds the same
+    assert abs(got[1] - (model.score(base) + whole * (len(long) // len(base) - 1))) < 1e-3
